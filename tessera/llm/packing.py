@@ -16,8 +16,11 @@ is counted in hash buckets, so no task holds all tails of a frequent length.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +30,15 @@ from pyspark.sql.window import Window as W
 from tessera.llm.common import stored
 
 WINDOW = 2048
-#: Entries of a worker's chunk cache; it is emptied when full.
-CACHE = 250_000
+#: Entries of each of a worker's two caches; the first half of them stays when one is full.
+CACHE = 260_000
 #: What str.split takes for white space and the tokenizer does not.
 _ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
+#: A run of letters that lower-case one to one, then punctuation other than the apostrophe: two tokens before merging.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: The letters above ASCII as the vocabulary writes their UTF-8 bytes: 0xC3 as Ã, 0x80-0xA0 and 0xAD from Ģ (U+0122) on.
+_SHIFTED = [*range(0x80, 0xA1), 0xAD]
+_BYTES = {c: "".join(chr(0x122 + _SHIFTED.index(b)) if b in _SHIFTED else chr(b) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class Encoder:
@@ -38,32 +46,45 @@ class Encoder:
 
     The vocabulary's rules never reach across white space, so the ids of a text
     are the ids of its white-space chunks in order.  Chunks recur; their ids
-    are looked up and only new ones go through the tokenizer.
+    are looked up.  New chunks of the plain form are looked up again as word and
+    punctuation, and only what is still new goes through the tokenizer.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.cache, self.chunks, self.words = Tokenizer.from_file(path), cache, {}, {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _merged(self, runs: list[str]) -> list[bytes]:
+        """Ids of single runs of lower-case letters or of punctuation: only the merges are left to do."""
+        merge = self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in merge(x if x.isascii() else x.translate(_BYTES))]).tobytes() for x in runs]
+
+    def _known(self, kept: dict, keys: set[str], find) -> dict:
+        """``kept`` with all of ``keys``; full, it keeps its oldest entries, which frequent keys are among."""
+        if new := list(keys.difference(kept)):
+            if len(kept) + len(new) > self.cache:
+                kept = dict(islice(kept.items(), self.cache // 2))
+                new = list(keys.difference(kept))
+            kept.update(zip(new, find(new), strict=True))
+        return kept
+
+    def _chunks(self, new: list[str]) -> list[bytes]:
+        parts = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(c)) else None for c in new]
+        self.words = at = self._known(self.words, {x for p in parts if p for x in p if x}, self._merged)
+        return [self._ids(c) if p is None else at[p[0]] + at[p[1]] if p[1] else at[p[0]] for c, p in zip(new, parts, strict=True)]
 
     def encode(self, text: str) -> bytes:
         if not _ODD_SPACE.isdisjoint(text):
-            return self._ids([text])[0]
+            return self._ids(text)
         out, chunks = [], text.split()
-        for at in range(0, len(chunks), 100_000):
-            part = chunks[at : at + 100_000]
-            if new := set(part).difference(self.known):
-                if len(self.known) + len(new) > self.cache:
-                    self.known = {}
-                    new = set(part)
-                new = list(new)
-                self.known.update(zip(new, self._ids(new), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, part)))
+        for at in range(0, len(chunks), 50_000):
+            part = chunks[at : at + 50_000]
+            self.chunks = self._known(self.chunks, set(part), self._chunks)
+            out.append(b"".join(map(self.chunks.__getitem__, part)))
         return b"".join(out)
 
 
