@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
@@ -88,11 +89,17 @@ class Encoder:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder: the next task it runs finds the caches warm."""
+    return Encoder(path)
+
+
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
     """Each document's ids, with ``end_id`` behind them, cut into full windows and a tail."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = encoder_of(tokenizer), end_id.to_bytes(4, "little")
         rows: list[tuple] = []
 
         def flush():
