@@ -19,7 +19,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_path, joined, new_path, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: State on disk, bounded in memory over all partitions of an executor; no space set aside ahead, as there may be many small stores.
+STATE_STORE = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "200",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -44,8 +52,7 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def _settings(spark: SparkSession, **values: str):
-    names = {k.replace("__", "."): v for k, v in values.items()}
+def _settings(spark: SparkSession, names: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)
@@ -72,7 +79,7 @@ def stream_groups(spark: SparkSession, log_path: str, log_schema, work: str, fil
         # Written under the batch's number: a batch that is run again replaces its own output.
         batch.write.mode("overwrite").parquet(f"{work}/out/batch={number}")
 
-    with _settings(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="200"):
+    with _settings(spark, STATE_STORE):
         query = groups.writeStream.outputMode("update").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).foreachBatch(emit).start()
         query.awaitTermination()
     schema = groups.withColumn("batch", F.lit(0)).schema
