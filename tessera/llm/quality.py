@@ -67,12 +67,13 @@ class Pooler:
         self.vocabulary, self.vectors, self.rows, self.shapes = vocabulary, vectors, {}, {}
         self.shape_vectors = np.zeros((0, SHAPES), dtype=np.float32)
 
-    def _row(self, token: str) -> tuple[int, int]:
+    def _row(self, token: str) -> int:
+        """The word's row plus one (0: unknown) and the shape's, in one number."""
         s = shape(token)
         if s not in self.shapes:
             self.shapes[s] = len(self.shapes)
             self.shape_vectors = np.vstack([self.shape_vectors, index_vector(s, SHAPES)])
-        return self.vocabulary.get(token.lower(), -1), self.shapes[s]
+        return (self.vocabulary.get(token.lower(), -1) + 1) * 64 + self.shapes[s]
 
     def pool(self, text: str) -> np.ndarray:
         counts = Counter(TOKEN.findall(text))
@@ -82,14 +83,14 @@ class Pooler:
         if len(self.rows) + len(counts) > CACHE:
             self.rows = {}
         rows = self.rows
-        for t in counts.keys() - rows.keys():
+        for t in [t for t in counts if t not in rows]:
             rows[t] = self._row(t)
-        at = np.array([rows[t] for t in counts], dtype=np.int64)
-        c = np.fromiter(counts.values(), np.float64, len(counts))
-        known = at[:, 0] >= 0
-        words = c[known] @ self.vectors[at[known, 0]] / n
-        shapes = np.bincount(at[:, 1], c, len(self.shape_vectors)) @ self.shape_vectors / n
-        return np.concatenate([words, shapes, [math.log1p(n), len(counts) / n, math.sqrt((c * c).sum()) / n, c.max() / n]])
+        at = np.fromiter(map(rows.__getitem__, counts), np.int64, len(counts))
+        c = np.fromiter(counts.values(), np.float32, len(counts))
+        known = at >= 64
+        words = c[known] @ self.vectors[(at[known] >> 6) - 1] / n
+        shapes = np.bincount(at & 63, c, len(self.shape_vectors)) @ self.shape_vectors / n
+        return np.concatenate([words, shapes, [math.log1p(n), len(counts) / n, math.sqrt(float(c @ c)) / n, float(c.max()) / n]])
 
 
 def _columns(features: list[np.ndarray]) -> pa.Array:
