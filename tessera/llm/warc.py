@@ -136,7 +136,9 @@ def read(index: DataFrame, folder: str, gap: int = GAP, span: int = SPAN, payloa
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     places = index.select("archive", "offset", "length")
     # Neighbours in an archive go to one task, in order; long archives are shared out by stretches.
-    places = places.repartition("archive", F.floor(F.col("offset") / (16 * span))).sortWithinPartitions("archive", "offset")
+    stretch = 16 * span
+    tasks = int((places.agg(F.sum("length")).first()[0] or 0) // stretch) + 1
+    places = places.repartition(tasks, "archive", F.floor(F.col("offset") / stretch)).sortWithinPartitions("archive", "offset")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
