@@ -219,6 +219,21 @@ def score(docs: DataFrame, model: Model, extra: dict[str, Column] | None = None,
     return head.mapInArrow(run, f"doc_id long, {kinds + ', ' if kinds else ''}score double, predicted int, n_matches long, n_words long")
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        found = automaton(model)
+        for batch in batches:
+            z = [model.slope * strength(t.as_py() or "", found)[0] + model.level for t in batch.column(at)]
+            yield batch.filter(pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) < threshold for x in z], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit_from(docs: DataFrame, labels: DataFrame, held_out: Column, max_documents: int = FIT_DOCUMENTS) -> Model:
     """A model of at most about ``max_documents`` labelled rows that are not held out."""
     chosen = hash_sample(labels.where(F.col("toxic").isNotNull() & ~held_out), "doc_id", max_documents).select("doc_id", F.col("toxic").cast("int").alias("label"))
