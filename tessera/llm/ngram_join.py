@@ -49,21 +49,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
     """The sorted distinct 64-bit shingles of a text; A-Z lowered, words between ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split(b" ")
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()  # what is white space to bytes is so here
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
     known = _word_hashes()
     if len(known) > _WORDS:
         known.clear()
-    words = [w for w in words if w]
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    new = set(words).difference(known)
-    known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
+    if new := set(words).difference(known):
+        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(size, len(h))
     out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for j in range(k):
-        out = mixed(out * _BASE + h[j : j + len(out)])
-    return np.unique(out)
+        out = out * _BASE + h[j : j + len(out)]
+    out = mixed(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+
+
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -102,11 +110,11 @@ def _sets(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataF
                 k = prefix_length(len(s), percent)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                late = np.isin(s, common, assume_unique=True) if len(common) and len(s) else np.zeros(len(s), dtype=bool)
+                late = among(s, common)
                 early, last = s[~late], s[late]
-                for out, key in ((firsts, lambda x: x), (seconds, lambda x: mixed(x ^ _M2))):
-                    order = np.concatenate([early[np.argsort(key(early))], last[np.argsort(key(last))]])
-                    out.append(order[:k].view(np.int64))
+                firsts.append(np.concatenate([early[:k], last[: max(0, k - len(early))]]).view(np.int64))  # sorted already
+                again = early[np.argsort(mixed(early ^ _M2))[:k]]
+                seconds.append(np.concatenate([again, last[np.argsort(mixed(last ^ _M2))[: k - len(again)]]]).view(np.int64))
             kinds = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(firsts, kinds), pa.array(seconds, kinds)], ["doc_id", "n", "print", "p1", "p2"])
 
