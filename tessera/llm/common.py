@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little
+    to do may not do for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def joined(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``big`` joined with a *stored* ``small``, which is broadcast only up to ``limit`` bytes.
 

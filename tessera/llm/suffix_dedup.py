@@ -31,10 +31,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import joined, stored
+from tessera.llm.common import joined, release, stored
 
 LENGTH, NAME = 50, 24
 #: Rows that a task gathers before it thins and sends them.
@@ -98,21 +99,24 @@ def runs_of(data: np.ndarray, length: int = LENGTH, name: int = NAME) -> tuple[n
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
-    return np.int64(len(columns[0])).tobytes() + b"".join(c.astype(t).tobytes() for c, t in zip(columns, _TYPES, strict=True))
-
-
-_TYPES = ["<u8", "<u8", "<i8", "<u4", "<u4"]
+    """Rows as bytes: keys as they are (they do not shrink), documents and windows as compressed differences."""
+    name, stretch, doc, first, last = columns
+    places = np.concatenate([np.diff(doc, prepend=0), first.astype(np.int64), (last - first).astype(np.int64)]).astype("<i8")
+    # Byte planes: the high bytes are nearly all zero.
+    small = zstandard.ZstdCompressor(level=1).compress(places.view(np.uint8).reshape(-1, 8).T.tobytes())
+    keys = b"" if not name.any() else name.astype("<u8").tobytes() + stretch.astype("<u8").tobytes()
+    return np.array([len(doc), len(keys)], dtype="<i8").tobytes() + keys + small
 
 
 def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
     parts = []
     for blob in blobs:
-        n, at, cols = int(np.frombuffer(blob, "<i8", 1)[0]), 8, []
-        for t in _TYPES:
-            cols.append(np.frombuffer(blob, t, n, at))
-            at += n * int(t[2])
-        parts.append(cols)
-    return [np.concatenate([p[i] for p in parts]) for i in range(len(_TYPES))]
+        n, size = (int(x) for x in np.frombuffer(blob, "<i8", 2))
+        keys = np.frombuffer(blob, "<u8", 2 * n, 16) if size else np.zeros(2 * n, dtype=np.uint64)
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[16 + size :], max_output_size=24 * n), np.uint8)
+        doc, first, length = np.split(np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel(), 3)
+        parts.append((keys[:n], keys[n:], np.cumsum(doc), first, first + length))
+    return [np.concatenate([p[i] for p in parts]) for i in range(5)]
 
 
 def _sorted(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -135,9 +139,12 @@ def _send(cols: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
     """Rows thinned and dealt to ``parts``: of equal keys the smallest document's; the others are known to repeat."""
     if not len(cols[0]):
         return
-    cols, _, both = _sorted(cols)
-    lead = _group_first(both, cols[2]) == cols[2]
-    for known in (False, True):
+    order = np.lexsort((cols[2], cols[1], cols[0]))
+    ordered = [c[order] for c in cols[:3]]
+    both = np.concatenate(([True], (ordered[0][1:] != ordered[0][:-1]) | (ordered[1][1:] != ordered[1][:-1])))
+    lead = np.empty(len(order), dtype=bool)
+    lead[order] = _group_first(both, ordered[2]) == ordered[2]
+    for known in (False, True):  # in the order of the texts, in which places shrink well
         rows = [c[lead != known] for c in cols]
         if known:  # nothing but their place is needed, and any task will do
             part = (rows[2] % parts).astype(np.int64)
@@ -167,6 +174,20 @@ def _gather(batches: Iterator[pa.RecordBatch], rows_of, parts: int) -> Iterator[
         yield from _send([np.concatenate([k[i] for k in kept]) for i in range(5)], parts)
 
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document its open runs in order, as compressed steps and window counts."""
+    for batch in batches:
+        out = []
+        for first, last in zip(batch.column(1), batch.column(2), strict=True):
+            a, b = first.values.to_numpy().astype(np.int64), last.values.to_numpy().astype(np.int64)
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))  # rows that repeat a document repeat its runs
+            a, b = a[new], b[new]
+            out.append(zstandard.ZstdCompressor(level=3).compress(np.concatenate([np.diff(a, prepend=0), b - a + 1]).astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "open"])
+
+
 _FOUND = "doc_id long, first int, last int, repeated boolean"
 
 
@@ -218,18 +239,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, parts: int | None = None) ->
         return _gather(batches, rows_of, parts)
 
     settled = stored(texts.mapInArrow(runs, _SENT).repartition(parts, "part").mapInArrow(_settle(True), _FOUND), "runs")
-    left = stored(settled.where("NOT repeated").groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("open")), "open")
+    release(spark)
+    left = stored(settled.where("NOT repeated").groupBy("doc_id").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last")).mapInArrow(_ranges, "doc_id long, open binary"), "open")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of(doc: int, text: bytes, ranges: list[dict]):
+        def rows_of(doc: int, text: bytes, ranges: bytes):
             data = np.frombuffer(text, np.uint8)
-            at = np.unique(np.concatenate([np.arange(r["first"], min(r["last"], len(data) - length) + 1) for r in ranges]))
+            a, n = np.split(np.frombuffer(zstandard.ZstdDecompressor().decompress(ranges), "<u4").astype(np.int64), 2)
+            a = np.cumsum(a)
+            at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
             a, b = names_of(data, length)[at], names_of(data, length, seed=1)[at]
             return a, b, np.full(len(at), doc, np.int64), at, at
 
         return _gather(batches, rows_of, parts)
 
-    row = 48 + 16 * int((left.agg(F.avg(F.size("open"))).first()[0] or 0) + 1)
+    row = 64 + int((left.agg(F.avg(F.octet_length("open"))).first()[0] or 0) + 1)
     last = joined(texts, left, "doc_id", "inner", row_bytes=row).select("doc_id", "text", "open").mapInArrow(windows, _SENT)
     ends = last.repartition(parts, "part").mapInArrow(_settle(False), _FOUND)
     covered = settled.where("repeated").select("doc_id", "first", "last").unionByName(ends.select("doc_id", "first", "last"))
@@ -248,7 +272,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, parts: int | None = None) ->
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, kind), pa.array(ends, kind)], ["doc_id", "starts", "ends"])
 
-    return stored(lists.mapInArrow(merge, "doc_id long, starts array<int>, ends array<int>"), "spans")
+    spans = stored(lists.mapInArrow(merge, "doc_id long, starts array<int>, ends array<int>"), "spans")
+    del last, ends, covered, lists
+    release(spark)
+    return spans
 
 
 def cut(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
