@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import joined, stored
+from tessera.llm.common import joined, release, stored
 
 SIZE, PERCENT = 5, 75
 #: A shingle is ordered last if it is in this share of the documents of any one scan batch; so many are kept at most.
@@ -97,14 +97,14 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in found.orderBy(F.desc("n"), "token").limit(COMMON).collect()], dtype=np.int64).view(np.uint64))
 
 
-def _sets(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n, print (of the set), p1 and p2: the prefixes under the two orders."""
+def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int, order: int) -> DataFrame:
+    """doc_id, n, print (of the set) and p: the prefix under the first or the second order."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for batch in batches:
-            n, prints, firsts, seconds = [], [], [], []
+            n, prints, prefixes = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), size)
                 k = prefix_length(len(s), percent)
@@ -112,13 +112,23 @@ def _sets(docs: DataFrame, common: np.ndarray, size: int, percent: int) -> DataF
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                 late = among(s, common)
                 early, last = s[~late], s[late]
-                firsts.append(np.concatenate([early[:k], last[: max(0, k - len(early))]]).view(np.int64))  # sorted already
-                again = early[np.argsort(mixed(early ^ _M2))[:k]]
-                seconds.append(np.concatenate([again, last[np.argsort(mixed(last ^ _M2))[: k - len(again)]]]).view(np.int64))
-            kinds = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(firsts, kinds), pa.array(seconds, kinds)], ["doc_id", "n", "print", "p1", "p2"])
+                if order == 2:  # the first order is that of the numbers themselves
+                    early, last = early[np.argsort(mixed(early ^ _M2))], last[np.argsort(mixed(last ^ _M2))]
+                prefixes.append(np.concatenate([early[:k], last[: max(0, k - len(early))]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "print", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, p1 array<long>, p2 array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, p array<long>")
+
+
+def _may_be_similar(met, x: str, y: str, percent: int):
+    """Whether sets of x and y shingles that share ``met`` of their prefixes can be similar enough.
+
+    Shared shingles that are not in both prefixes all come after the prefix that
+    ends first, so there are no more of them than that set has left.
+    """
+    left = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    need = F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent))
+    return met + F.greatest(left(x), left(y)) >= need
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,47 +174,57 @@ def _near(x: str, y: str, percent: int):
 def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
-    ``docs`` needs doc_id and text; other columns are not read.  doc_id tells
-    documents apart: rows that repeat one are one document if their texts have
-    the same shingles, and else stand for the text that sorts first.  Null and
+    ``docs`` needs doc_id and text; other columns are not read.  doc_id names a
+    text: rows that repeat an id and its text come out alike.  Null and
     empty texts and those of white space have no shingle, link with nothing and
     are components of their own; a null doc_id keeps a null component.  Texts of
     fewer than ``size`` words are one shingle.  Similarity is compared in whole
     numbers, so a pair exactly at the threshold links.  No rows give no rows.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(_sets(docs, _common(docs, size), size, percent), "prefixes")
+    common = _common(docs, size)
+    rows = stored(_prefixes(docs, common, size, percent, 1), "prefixes")
     # Classes of equal sets; their smallest document stands for them.
     classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("print", "n").agg(F.min("doc_id").alias("cls"), F.count("*").alias("members")), "classes")
     many = stored(classes.where("members > 1").select("print", "cls"), "copies")
-    marked = joined(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "print", "p1", "p2"), many, "print", "left", row_bytes=80)
+    marked = joined(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "print", "p"), many, "print", "left", row_bytes=80)
     heads = marked.where("cls IS NULL OR cls = doc_id")
-
-    def tokens(prefix: str) -> DataFrame:
-        return heads.select(F.explode(prefix).alias("token"), F.col("doc_id").alias("x"), "n")
-
-    groups = tokens("p1").groupBy("token").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi")
-    members = stored(tokens("p1").join(groups, "token"), "members")
-    sizes = members.select("x", "n").distinct()
-    stars = members.select("x", "n", F.explode(F.array("lo", "hi")).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sized = stars.join(sizes.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b")
-    stars = stored(sized.where(_near("na", "nb", percent)).select("a", "b"), "stars")
-    edges = stored(_similar(stars, docs, size, percent), "links")
+    tokens = heads.select(F.explode("p").alias("token"), F.col("doc_id").alias("x"), "n")
+    groups = tokens.groupBy("token").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi")
+    members = stored(tokens.join(groups, "token"), "members")
+    release(spark)
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        one = members.select("x", "n").distinct()
+        return pairs.join(one.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(one.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b").where(_near("na", "nb", percent))
+
+    # Each class against the first and the last of its groups.
+    stars = members.select("x", F.explode(F.array("lo", "hi")).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    stars = stored(sized(stars), "stars")
+    held = members.groupBy("x").agg(F.collect_set("token").alias("p"))  # the shared part of a prefix
+    both = stars.hint("merge").join(held.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a").hint("merge").join(held.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b")
+    likely = stored(both.where(_may_be_similar(F.size(F.array_intersect("pa", "pb")), "na", "nb", percent)).select("a", "b"), "likely")
+    edges = stored(_similar(likely, docs, size, percent), "links")
+    release(spark)
     label = components(edges).select(F.col("node").alias("x"), F.col("component").alias("c"))
     now = members.select("token", "x", "n").join(label, "x", "left").withColumn("c", F.coalesce("c", "x"))
     open_groups = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     left = stored(now.join(open_groups, "token", "left_semi"), "open")
 
     def across(side: DataFrame) -> DataFrame:
-        """Pairs of one group in different components, of near sizes."""
+        """Pairs of one group in different components that share enough of their prefixes."""
         u, v = side.select("token", F.col("x").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), side.select("token", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        return u.join(v, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("na", "nb", percent)).select("a", "b").distinct()
+        pairs = u.join(v, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("na", "nb", percent))
+        met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+        return met.where(_may_be_similar(F.col("met"), "na", "nb", percent)).select("a", "b")
 
     first = stored(across(left).join(stars, ["a", "b"], "left_anti"), "pairs")
     if not first.isEmpty():
         some = stored(first.select(F.col("a").alias("x")).union(first.select(F.col("b").alias("x"))).distinct().join(label, "x", "left").withColumn("c", F.coalesce("c", "x")), "open-nodes")
-        second = across(tokens("p2").join(some, "x"))
-        met = stored(first.join(second, ["a", "b"], "left_semi"), "met")
+        texts = joined(docs, some.select(F.col("x").alias("doc_id")), "doc_id", "left_semi", row_bytes=48)
+        again = _prefixes(texts, common, size, percent, 2).dropDuplicates(["doc_id"]).select(F.explode("p").alias("token"), F.col("doc_id").alias("x"), "n")
+        met = stored(first.join(across(again.join(some, "x")), ["a", "b"], "left_semi"), "met")
         edges = edges.union(_similar(met, docs, size, percent))
         label = components(edges).select(F.col("node").alias("x"), F.col("component").alias("c"))
     label = stored(label, "components")
