@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import joined, release, stored
 
 SIZE, PERCENT = 5, 75
-#: A shingle is ordered last if it is in this share of the documents of any one scan batch; so many are kept at most.
-COMMON_SHARE, COMMON = 0.004, 200_000
+#: Shingles are ordered last if they are in OFTEN documents of a scan batch and in IN_ALL that way; so many are kept at most.
+OFTEN, IN_ALL, COMMON = 3, 12, 1_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _WORDS = 400_000
@@ -79,10 +79,10 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _common(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles of many documents, sorted: those that are frequent in some batch of the scan over all of them.
+    """Shingles of many documents, sorted: the most frequent ones of a scan of all of them.
 
-    A shingle in that share of all documents is in as large a share of one
-    batch at least.  Which ones are found changes the order, never the result.
+    Batches are counted where they are and send what is frequent there.  Which
+    shingles are found changes the order, and so the work, never the result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +90,12 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
             sets = [shingles(t.as_py(), size) for t in batch.column(0)]
             if sets:
                 values, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= max(8, COMMON_SHARE * len(sets))
+                often = n >= OFTEN
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
     found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return np.sort(np.array([r.token for r in found.orderBy(F.desc("n"), "token").limit(COMMON).collect()], dtype=np.int64).view(np.uint64))
+    top = found.where(F.col("n") >= IN_ALL).orderBy(F.desc("n"), "token").limit(COMMON).select("token").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int, order: int) -> DataFrame:
