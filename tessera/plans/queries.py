@@ -53,10 +53,9 @@ def phrase_mining_top50(spark, sf):
 
 
 @query(f"""WITH {_PHRASES},
-turns AS (SELECT role, coalesce(text, '') AS text, {_grams("w", 4)} AS g FROM (SELECT role, text, {_TOK.format("text")} AS w FROM conversations))
-SELECT role, sum(len(list_filter(g, lambda x: x IN (SELECT phrase FROM top)))) AS hits, sum(length(text)) AS chars,
-       round(1000.0 * sum(len(list_filter(g, lambda x: x IN (SELECT phrase FROM top)))) / sum(length(text)), 6) AS per_1000
-FROM turns GROUP BY role""".replace("len(list_filter(g, lambda x: x IN (SELECT phrase FROM top)))", "len(list_filter(g, lambda x: list_contains((SELECT list(phrase) FROM top), x)))"))
+turns AS (SELECT role, coalesce(text, '') AS text, {_grams("w", 4)} AS g FROM (SELECT role, text, {_TOK.format("text")} AS w FROM conversations)),
+hit AS (SELECT role, length(text) AS c, len(list_filter(g, lambda x: list_contains(phrases, x))) AS h FROM turns, (SELECT list(phrase) AS phrases FROM top))
+SELECT role, sum(h)::BIGINT AS hits, sum(c)::BIGINT AS chars, round(1000.0 * sum(h) / sum(c), 6) AS per_1000 FROM hit GROUP BY role""")
 def template_rate_by_role(spark, sf):
     """C5 by role: hits of the 50 mined phrases per 1000 characters."""
     phrases = _top_phrases(spark, sf).agg(F.collect_list("phrase").alias("phrases"))  # fifty at most
