@@ -8,8 +8,8 @@ before that; a candidate pair must share a prefix shingle under both, and is
 verified on the full sets.
 
 Groups of a prefix shingle are not expanded into pairs.  First every class is
-held against the first and the last class of its groups, which joins large
-groups of near copies by few pairs.  Only classes of one group that are in
+held against two classes of its groups, the first and the most central, which
+joins large groups of near copies by few pairs.  Only classes of one group that are in
 different components after that are paired, and those pairs must survive the
 intersection of the orders.
 """
@@ -192,16 +192,19 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     marked = joined(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "print", "p"), many, "print", "left", row_bytes=80)
     heads = marked.where("cls IS NULL OR cls = doc_id")
     tokens = heads.select(F.explode("p").alias("token"), F.col("doc_id").alias("x"), "n")
-    groups = tokens.groupBy("token").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi")
-    members = stored(tokens.join(groups, "token"), "members")
+    groups = tokens.groupBy("token").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("cnt")).where("lo < hi")
+    members = stored(tokens.join(groups, "token").select("token", "x", "n", "lo", "cnt"), "members")
     release(spark)
 
     def sized(pairs: DataFrame) -> DataFrame:
         one = members.select("x", "n").distinct()
         return pairs.join(one.select(F.col("x").alias("a"), F.col("n").alias("na")), "a").join(one.select(F.col("x").alias("b"), F.col("n").alias("nb")), "b").where(_near("na", "nb", percent))
 
-    # Each class against the first and the last of its groups.
-    stars = members.select("x", F.explode(F.array("lo", "hi")).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # Each class against two of each of its groups: the first, and the one that shares most of its prefix with most others.
+    # Edited copies of one text may be similar to that text alone, and it shares more than any of them.
+    shares = members.groupBy("x").agg((F.sum("cnt") / F.first("n")).alias("share"))
+    best = members.select("token", "x").join(shares, "x").groupBy("token").agg(F.max(F.struct("share", F.col("x").alias("y"))).getField("y").alias("y"))
+    stars = members.select("x", F.col("lo").alias("y")).union(members.select("token", "x").join(best, "token").select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     stars = stored(sized(stars), "stars")
     held = members.groupBy("x").agg(F.collect_set("token").alias("p"))  # the shared part of a prefix
     both = stars.hint("merge").join(held.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a").hint("merge").join(held.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b")
