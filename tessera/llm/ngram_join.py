@@ -7,7 +7,10 @@ are used, both with shingles of many documents last and a hash of their own
 before that; a candidate pair must share a prefix shingle under both, and is
 verified on the full sets.
 
-Groups of a prefix shingle are not expanded into pairs.  First every class is
+Groups of a prefix shingle are not expanded into pairs.  A class leaves a group
+if so much of its prefix is its own that it can be similar to no set of the
+sizes there: an edited copy's own shingles come first in its prefix, so copies
+too far from all others go before they meet them.  Then every class is
 held against two classes of its groups, the first and the most central, which
 joins large groups of near copies by few pairs.  Only classes of one group that are in
 different components after that are paired, and those pairs must survive the
@@ -22,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import joined, release, stored
@@ -132,6 +135,25 @@ def _may_be_similar(met, x: str, y: str, percent: int):
     return met + F.greatest(left(x), left(y)) >= need
 
 
+def _able(rows: DataFrame, percent: int) -> DataFrame:
+    """Of ``rows`` (token, x, n, c), those that can take part in a link, and held: how much of x's prefix can.
+
+    Groups of one component c go.  Then a class leaves a group if it can be
+    similar to no set of the sizes there: the bound of ``_may_be_similar``
+    without rounding, which is loosest for the smallest or the largest set that
+    is near enough in size.
+    """
+    groups = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo < hi").drop("lo", "hi")
+    met = rows.join(groups, "token").withColumn("held", F.count("*").over(Window.partitionBy("x")))  # at most a prefix
+
+    def bound(y):
+        return 100 * (100 + percent) * F.col("held") + (100 + percent) * percent * F.greatest(F.col("n"), y) >= 100 * percent * (F.col("n") + y)
+
+    small = F.greatest(F.col("least"), F.floor(F.col("n") * percent / 100))
+    large = F.least(F.col("most"), F.ceil(F.col("n") * 100 / percent))
+    return met.where(bound(small) | bound(large)).select("token", "x", "n", "c", "held")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of the nodes of ``edges`` (a, b).
 
@@ -191,9 +213,10 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     many = stored(classes.where("members > 1").select("print", "cls"), "copies")
     marked = joined(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "print", "p"), many, "print", "left", row_bytes=80)
     heads = marked.where("cls IS NULL OR cls = doc_id")
-    tokens = heads.select(F.explode("p").alias("token"), F.col("doc_id").alias("x"), "n")
-    groups = tokens.groupBy("token").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("cnt")).where("lo < hi")
-    members = stored(tokens.join(groups, "token").select("token", "x", "n", "lo", "cnt"), "members")
+    tokens = heads.select(F.explode("p").alias("token"), F.col("doc_id").alias("x"), "n", F.col("doc_id").alias("c"))
+    able = stored(_able(tokens, percent).select("token", "x", "n"), "able")
+    groups = able.groupBy("token").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("cnt")).where("lo < hi").drop("hi")
+    members = stored(able.join(groups, "token"), "members")
     release(spark)
 
     def sized(pairs: DataFrame) -> DataFrame:
@@ -206,20 +229,21 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     best = members.select("token", "x").join(shares, "x").groupBy("token").agg(F.max(F.struct("share", F.col("x").alias("y"))).getField("y").alias("y"))
     stars = members.select("x", F.col("lo").alias("y")).union(members.select("token", "x").join(best, "token").select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     stars = stored(sized(stars), "stars")
-    held = members.groupBy("x").agg(F.collect_set("token").alias("p"))  # the shared part of a prefix
-    both = stars.hint("merge").join(held.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a").hint("merge").join(held.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b")
+    parts = members.groupBy("x").agg(F.collect_set("token").alias("p"))  # the shared part of a prefix
+    both = stars.hint("merge").join(parts.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a").hint("merge").join(parts.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b")
     likely = stored(both.where(_may_be_similar(F.size(F.array_intersect("pa", "pb")), "na", "nb", percent)).select("a", "b"), "likely")
     edges = stored(_similar(likely, docs, size, percent), "links")
     release(spark)
     label = components(edges).select(F.col("node").alias("x"), F.col("component").alias("c"))
     now = members.select("token", "x", "n").join(label, "x", "left").withColumn("c", F.coalesce("c", "x"))
-    open_groups = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    left = stored(now.join(open_groups, "token", "left_semi"), "open")
+    left = stored(_able(now, percent), "open")  # what a class shares with its own component alone no longer counts for it
+    left = stored(_able(left.drop("held"), percent), "still-open")
 
     def across(side: DataFrame) -> DataFrame:
         """Pairs of one group in different components that share enough of their prefixes."""
-        u, v = side.select("token", F.col("x").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), side.select("token", F.col("x").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        pairs = u.join(v, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("na", "nb", percent))
+        u, v = (side.select("token", *[F.col(c).alias(c + k) for c in ("x", "n", "c", "held")]) for k in "ab")
+        fit = _near("na", "nb", percent) & _may_be_similar(F.least("helda", "heldb"), "na", "nb", percent)
+        pairs = u.join(v, "token").where((F.col("xa") < F.col("xb")) & (F.col("ca") != F.col("cb")) & fit).withColumnsRenamed({"xa": "a", "xb": "b"})
         met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         return met.where(_may_be_similar(F.col("met"), "na", "nb", percent)).select("a", "b")
 
@@ -227,7 +251,7 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     if not first.isEmpty():
         some = stored(first.select(F.col("a").alias("x")).union(first.select(F.col("b").alias("x"))).distinct().join(label, "x", "left").withColumn("c", F.coalesce("c", "x")), "open-nodes")
         texts = joined(docs, some.select(F.col("x").alias("doc_id")), "doc_id", "left_semi", row_bytes=48)
-        again = _prefixes(texts, common, size, percent, 2).dropDuplicates(["doc_id"]).select(F.explode("p").alias("token"), F.col("doc_id").alias("x"), "n")
+        again = _prefixes(texts, common, size, percent, 2).dropDuplicates(["doc_id"]).select(F.explode("p").alias("token"), F.col("doc_id").alias("x"), "n", F.size("p").cast("long").alias("held"))
         met = stored(first.join(across(again.join(some, "x")), ["a", "b"], "left_semi"), "met")
         edges = edges.union(_similar(met, docs, size, percent))
         label = components(edges).select(F.col("node").alias("x"), F.col("component").alias("c"))
