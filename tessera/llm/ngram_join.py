@@ -13,8 +13,8 @@ sizes there: an edited copy's own shingles come first in its prefix, so copies
 too far from all others go before they meet them.  Then every class is
 held against two classes of its groups, the first and the most central, which
 joins large groups of near copies by few pairs.  Only classes of one group that are in
-different components after that are paired, and those pairs must survive the
-intersection of the orders.
+different components after that are paired, in large groups by the rarest of
+their shingles, and those pairs must survive the intersection of the orders.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from tessera.llm.common import joined, release, stored
 SIZE, PERCENT = 5, 75
 #: Shingles are ordered last if they are in OFTEN documents of a scan batch and in IN_ALL that way; so many are kept at most.
 OFTEN, IN_ALL, COMMON = 3, 12, 1_000_000
+#: Groups of more classes are large: their pairs are looked for by a few shingles of a class, not by all.
+LARGE = 32
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _WORDS = 400_000
@@ -130,9 +132,47 @@ def _may_be_similar(met, x: str, y: str, percent: int):
     Shared shingles that are not in both prefixes all come after the prefix that
     ends first, so there are no more of them than that set has left.
     """
+    return met >= _must_share(x, y, percent)
+
+
+def _must_share(x: str, y: str, percent: int):
     left = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    need = F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent))
-    return met + F.greatest(left(x), left(y)) >= need
+    return F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent)) - F.greatest(left(x), left(y))
+
+
+def _sharing(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b, na, nb) those whose ``parts`` (x, p) share enough."""
+    a, b = (parts.select(F.col("x").alias(k), F.col("p").alias("p" + k)) for k in "ab")
+    both = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")
+    return both.where(_may_be_similar(F.size(F.array_intersect("pa", "pb")), "na", "nb", percent)).select("a", "b", "na", "nb")
+
+
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb: pairs of a group of ``rows`` (token, x, n, c) in different components that may share enough.
+
+    Pairs that share a shingle of a group that is not large are counted there,
+    and the large groups of either class may add to that.  Others share large
+    groups alone; if a class has k of them and t must be shared, one of its
+    k - t + 1 smallest is.  Both cases together miss no pair.
+    """
+    sizes = rows.groupBy("token").agg(F.count("*").alias("g"))
+    by_size = Window.partitionBy("x", F.col("g") > LARGE).orderBy("g", "token")
+    of_x = Window.partitionBy("x")
+    ranked = rows.join(sizes, "token").withColumn("rank", F.row_number().over(by_size)).withColumn("big", F.sum((F.col("g") > LARGE).cast("long")).over(of_x))
+    ranked = stored(ranked.select("token", "x", "n", "c", "g", "rank", "big"), "ranked")
+
+    def pairs(side: DataFrame, fit) -> DataFrame:
+        u, v = (side.select("token", *[F.col(c).alias(c + k) for c in ("x", "n", "c", "rank", "big")]) for k in "ab")
+        apart = (F.col("xa") < F.col("xb")) & (F.col("ca") != F.col("cb")) & _near("na", "nb", percent)
+        return u.join(v, "token").where(apart & fit).withColumnsRenamed({"xa": "a", "xb": "b"})
+
+    may_add, must = F.least("biga", "bigb"), _must_share("na", "nb", percent)
+    found = pairs(ranked.where(F.col("g") <= LARGE), F.lit(True))
+    found = found.groupBy("a", "b").agg(F.count("*").alias("met"), *[F.first(c).alias(c) for c in ("na", "nb", "biga", "bigb")])
+    found = found.where(F.col("met") + may_add >= must).select("a", "b", "na", "nb")
+    rank = F.when(F.col("biga") <= F.col("bigb"), F.col("ranka")).otherwise(F.col("rankb"))
+    alone = pairs(ranked.where(F.col("g") > LARGE), (may_add >= must) & (rank <= may_add - must + 1))
+    return found.union(alone.select("a", "b", "na", "nb")).distinct()
 
 
 def _able(rows: DataFrame, percent: int) -> DataFrame:
@@ -230,29 +270,20 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     stars = members.select("x", F.col("lo").alias("y")).union(members.select("token", "x").join(best, "token").select("x", "y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     stars = stored(sized(stars), "stars")
     parts = members.groupBy("x").agg(F.collect_set("token").alias("p"))  # the shared part of a prefix
-    both = stars.hint("merge").join(parts.select(F.col("x").alias("a"), F.col("p").alias("pa")), "a").hint("merge").join(parts.select(F.col("x").alias("b"), F.col("p").alias("pb")), "b")
-    likely = stored(both.where(_may_be_similar(F.size(F.array_intersect("pa", "pb")), "na", "nb", percent)).select("a", "b"), "likely")
+    likely = stored(_sharing(stars, parts, percent).select("a", "b"), "likely")
     edges = stored(_similar(likely, docs, size, percent), "links")
     release(spark)
     label = components(edges).select(F.col("node").alias("x"), F.col("component").alias("c"))
     now = members.select("token", "x", "n").join(label, "x", "left").withColumn("c", F.coalesce("c", "x"))
     left = stored(_able(now, percent), "open")  # what a class shares with its own component alone no longer counts for it
-    left = stored(_able(left.drop("held"), percent), "still-open")
-
-    def across(side: DataFrame) -> DataFrame:
-        """Pairs of one group in different components that share enough of their prefixes."""
-        u, v = (side.select("token", *[F.col(c).alias(c + k) for c in ("x", "n", "c", "held")]) for k in "ab")
-        fit = _near("na", "nb", percent) & _may_be_similar(F.least("helda", "heldb"), "na", "nb", percent)
-        pairs = u.join(v, "token").where((F.col("xa") < F.col("xb")) & (F.col("ca") != F.col("cb")) & fit).withColumnsRenamed({"xa": "a", "xb": "b"})
-        met = pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-        return met.where(_may_be_similar(F.col("met"), "na", "nb", percent)).select("a", "b")
-
-    first = stored(across(left).join(stars, ["a", "b"], "left_anti"), "pairs")
+    left = _able(left.drop("held"), percent).drop("held")
+    first = stored(_across(left, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    first = stored(_sharing(first, parts, percent), "pairs")
     if not first.isEmpty():
-        some = stored(first.select(F.col("a").alias("x")).union(first.select(F.col("b").alias("x"))).distinct().join(label, "x", "left").withColumn("c", F.coalesce("c", "x")), "open-nodes")
-        texts = joined(docs, some.select(F.col("x").alias("doc_id")), "doc_id", "left_semi", row_bytes=48)
-        again = _prefixes(texts, common, size, percent, 2).dropDuplicates(["doc_id"]).select(F.explode("p").alias("token"), F.col("doc_id").alias("x"), "n", F.size("p").cast("long").alias("held"))
-        met = stored(first.join(across(again.join(some, "x")), ["a", "b"], "left_semi"), "met")
+        some = stored(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct(), "open-nodes")
+        texts = joined(docs, some, "doc_id", "left_semi", row_bytes=48)
+        again = _prefixes(texts, common, size, percent, 2).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("x"), "p")
+        met = stored(_sharing(first, stored(again, "second-prefixes"), percent).select("a", "b"), "met")
         edges = edges.union(_similar(met, docs, size, percent))
         label = components(edges).select(F.col("node").alias("x"), F.col("component").alias("c"))
     label = stored(label, "components")
