@@ -122,18 +122,26 @@ def test_suffix_dedup(spark):
         assert got[i].n_spans == sum(x - 1 not in gone for x in gone)
 
 
-def test_ngram_join(spark):
-    texts = dice(5, 60)
+def shingle_components(texts):
+    """Shingle sets and the smallest index linked to each, by comparing all pairs."""
     sets = []
     for t in texts:
         w = (t or "").lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if a < b and x and y and 100 * len(x & y) >= 75 * len(x | y)]
     label = list(range(len(texts)))
     for _ in texts:
-        for a, x in enumerate(sets):
-            for b, y in enumerate(sets):
-                if x and y and 100 * len(x & y) >= 75 * len(x | y):
-                    label[a] = label[b] = min(label[a], label[b])
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return sets, label
+
+
+@pytest.mark.parametrize("large, seed", [(32, 5), (1, 6), (3, 7)])
+def test_ngram_join(spark, monkeypatch, large, seed):
+    """Also with nearly all groups, or those of over three classes, taken as large."""
+    monkeypatch.setattr(ngram_join, "LARGE", large)
+    texts = dice(seed, 60)
+    sets, label = shingle_components(texts)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked(docs(spark, texts)).collect()}
     assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
     assert ngram_join.linked(docs(spark, [])).count() == 0
@@ -171,6 +179,34 @@ def test_models_on_held_out_rows(spark):
         assert sum(r.predicted == labels[r.doc_id][column] for r in rows) >= 0.9 * len(rows)
 
 
+def test_pipeline_against_brute_force(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    toxic = {r.doc_id for r in toxicity.op6_toxicity(spark, sf).collect() if r.predicted}  # the model is held against labels elsewhere
+    best = {}
+    for i, t in sorted(texts.items()):
+        n = "".join(c for c in t if c not in " \t\n\v\f\r")
+        if i not in toxic and (n not in best or len(t) > len(texts[best[n]])):
+            best[n] = i
+    left = sorted(best.values())
+    label = shingle_components([texts[i] for i in left])[1]
+    left = [i for k, i in enumerate(left) if label[k] == k]
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        if w := decontamination.words_of(r.text):
+            k = min(10, len(w))
+            windows.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    sizes = {len(g) for g in windows}
+    clean = [i for i in left if (w := decontamination.words_of(texts[i])) is not None and not any(tuple(w[j : j + k]) in windows for k in sizes for j in range(len(w) - k + 1))]
+    t, got = Tokenizer.from_file(packing.default_tokenizer()), Counter()
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id] += r.length
+    assert got == {i: len(t.encode(texts[i], add_special_tokens=False).ids) + 1 for i in clean} and len(clean) < len(left) < len(best)
+
+
 def test_models_without_rows_or_letters(spark):
     empty = docs(spark, [])
     model = langid.fit(empty.select("doc_id", "text", "lang"))
