@@ -4,7 +4,7 @@ Texts are folded first: case, homoglyphs of other scripts, accents and digits
 or signs that stand for letters.  An Aho-Corasick automaton over the folded
 text finds lexicon words and exception phrases in one pass; a lexicon word
 inside an exception phrase does not count.  The weights found are summed and
-normalised by length, and a logistic curve makes a probability of it.
+divided by the words of the text, and a logistic curve makes a probability of it.
 
 Lexicon, weights, exceptions and curve are all learned from labelled texts.
 """
@@ -34,6 +34,8 @@ HOMOGLYPHS = {
 FIT_DOCUMENTS, LEXICON, EXCEPTIONS = 20_000, 2_000, 2_000
 #: Lengths of the word beginnings that may be lexicon entries too, written with a star.
 BEGINNINGS = (5, 7)
+#: Words without a match that every text is taken to have besides its own, so that one match in a few words is no high density.
+EASE = 50
 
 
 class _Fold(dict):
@@ -99,7 +101,7 @@ def entries(text: str) -> set[str]:
 
 
 def strength(text: str, found) -> tuple[float, int, int]:
-    """Weight a word of the text on a log scale, lexicon words found, words in all."""
+    """Weight in a hundred words of the text on a log scale, lexicon words found, words in all."""
     folded = fold(text)
     n = folded.count(" ") - 1
     if found is None or n < 1:
@@ -111,7 +113,7 @@ def strength(text: str, found) -> tuple[float, int, int]:
     if spans:
         words = [w for w in words if not any(a <= w[0] and w[1] <= b for a, b in spans)]
     total = sum(w for _, _, w in words)
-    return (math.log1p(total) - 0.25 * math.log1p(total / n) if total else 0.0) / (1 + 0.02 * math.log1p(n)), len(words), n
+    return math.log1p(100 * total / (n + EASE)), len(words), n
 
 
 def fit(labelled: DataFrame, lexicon: int = LEXICON, exceptions: int = EXCEPTIONS) -> Model:

@@ -214,3 +214,21 @@ def test_models_without_rows_or_letters(spark):
     none = toxicity.Model({}, [], 0.0, -4.0)
     assert [r.predicted for r in toxicity.score(docs(spark, [None, "x"]), none).collect()] == [0, 0]
     assert toxicity.fold("IDI0T Сlown 2024!") == " idiot clown "
+
+
+def test_toxicity_is_normalised_by_length(spark):
+    """Clean texts joined to long ones stay clean; toxic ones, alone or joined, do not."""
+    found = toxicity.automaton(toxicity.Model({"bad": 3.0}, [], 1.0, 0.0))
+    page = "bad " + "word " * 999
+    assert toxicity.strength(page * 50, found)[0] == pytest.approx(toxicity.strength(page, found)[0], rel=0.1)
+    sf = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit_from(documents, labels, held_out)
+    texts = {}
+    for r in documents.join(labels, "doc_id").where("text IS NOT NULL").orderBy("doc_id").select("lang", "toxic", "text").collect():
+        texts.setdefault((r.lang, r.toxic), []).append(r.text)
+    long = {k: ["\n".join(t[i : i + 50]) for i in range(0, len(t), 50)] for k, t in texts.items()}
+    called = lambda t: [r.predicted for r in toxicity.score(docs(spark, t), model).collect()]
+    assert sum(sum(called(t)) for (_, toxic), t in long.items() if not toxic) == 0
+    assert all(all(called(t)) for (_, toxic), t in long.items() if toxic)
