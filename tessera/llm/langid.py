@@ -2,7 +2,9 @@
 
 A word that the model knows is scored by its log frequency in each language.
 An unseen word backs off to its character n-grams (with word borders): to the
-longest length of which the model knows any, down to single characters.
+longest length of which the model knows any, down to single characters.  A run
+of more letters than a word has, as of a script without spaces, is scored whole:
+by its n-grams in blocks, each of which counts as a word does.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 #: Bounds of the model: labelled documents it is fitted on, words it keeps of each language, n-grams in all.
 FIT_DOCUMENTS, FIT_WORDS, FIT_GRAMS, LONGEST = 20_000, 40_000, 150_000, 5
+#: Letters that a word has at most; longer runs are no words of the model, and their n-grams are taken in blocks of about so many.
+SHORT = 64
 #: Unseen words whose scores a worker remembers; emptied when full.
 CACHE = 150_000
 
@@ -33,6 +37,15 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def bordered_of(word: str) -> list[str]:
+    """The word between its borders; of a longer run, pieces that overlap so that each n-gram starts in the first SHORT letters of one, or in the last piece."""
+    run = f"^{word}$"
+    if len(word) <= SHORT:
+        return [run]
+    starts = range(0, len(run) - LONGEST + 1, SHORT)
+    return [*(run[a : a + SHORT + LONGEST - 1] for a in starts[:-1]), run[starts[-1] :]]
+
+
 @dataclass
 class Model:
     """languages; words and grams: row in the table of log frequencies by language."""
@@ -44,10 +57,15 @@ class Model:
     gram_logs: list[np.ndarray]
 
     def unseen(self, word: str) -> np.ndarray:
-        bordered = f"^{word[:64]}$"
+        bordered = f"^{word}$"
+        size = -(-len(bordered) // max(1, len(word) // SHORT))
+        return sum((self._block(bordered, a, a + size) for a in range(0, len(bordered), size)), np.zeros(len(self.languages), dtype=np.float64))
+
+    def _block(self, bordered: str, begin: int, end: int) -> np.ndarray:
+        """The mean over the known n-grams that start in a block."""
         for n in range(LONGEST, 0, -1):
             known = self.grams[n]
-            rows = [r for i in range(len(bordered) - n + 1) if (r := known.get(bordered[i : i + n])) is not None]
+            rows = [r for i in range(begin, min(end, len(bordered) - n + 1)) if (r := known.get(bordered[i : i + n])) is not None]
             if rows:
                 return self.gram_logs[n][rows].mean(axis=0)
         return np.zeros(len(self.languages), dtype=np.float32)
@@ -66,7 +84,8 @@ def fit(labelled: DataFrame, max_documents: int = FIT_DOCUMENTS, max_words: int
     """A model of ``labelled`` (doc_id, text, lang without nulls).
 
     Words are counted by Spark over at most about ``max_documents`` whole texts,
-    chosen by a hash of doc_id; the driver gets ``max_words`` rows a language.
+    chosen by a hash of doc_id; the driver gets ``max_words`` rows a language,
+    words or pieces of longer runs.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +94,8 @@ def fit(labelled: DataFrame, max_documents: int = FIT_DOCUMENTS, max_words: int
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 lang = lang.as_py()
                 for w, n in Counter(words_of(text.as_py())).items():
-                    seen[lang, w[:64]] += n
+                    for piece in bordered_of(w):
+                        seen[lang, piece] += n
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["lang", "word", "n"])
 
     sample = hash_sample(labelled, "doc_id", max_documents).select("text", "lang")
@@ -87,13 +107,15 @@ def fit(labelled: DataFrame, max_documents: int = FIT_DOCUMENTS, max_words: int
     words: dict = defaultdict(dict)
     grams: list[dict] = [defaultdict(Counter) for _ in range(LONGEST + 1)]
     totals, gram_totals = np.zeros(len(languages)), np.zeros((LONGEST + 1, len(languages)))
-    for lang, word, n in zip(top["lang"], top["word"], top["n"], strict=True):
+    for lang, bordered, n in zip(top["lang"], top["word"], top["n"], strict=True):
         k = at[lang]
-        words[word][k] = n
-        totals[k] += n
-        bordered, share = f"^{word}$", 1 + math.log(n)  # frequent words do not drown their n-grams
+        if bordered[0] == "^" and bordered[-1] == "$" and len(bordered) <= SHORT + 2:
+            words[bordered[1:-1]][k] = n
+            totals[k] += n
+        share = 1 + math.log(n)  # frequent words do not drown their n-grams
+        last = len(bordered) if bordered[-1] == "$" else SHORT  # n-grams that start behind it are in the next piece
         for size in range(1, LONGEST + 1):
-            for i in range(len(bordered) - size + 1):
+            for i in range(min(last, len(bordered) - size + 1)):
                 grams[size][bordered[i : i + size]][k] += share
                 gram_totals[size, k] += share
     kept = [{}, *(dict(sorted(g.items(), key=lambda x: (-sum(x[1].values()), x[0]))[: max_grams // LONGEST]) for g in grams[1:])]
@@ -141,8 +163,12 @@ def predict(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                     out.append((UNKNOWN, 0.0, len(words)))
                     continue
                 total = np.zeros(width)
-                for a in range(0, len(words), CACHE // 2):
-                    rows = rows_of(words[a : a + CACHE // 2])
+                runs = [w for w in words if len(w) > SHORT]
+                for w in runs:
+                    total += model.unseen(w)
+                short = [w for w in words if len(w) <= SHORT] if runs else words
+                for a in range(0, len(short), CACHE // 2):
+                    rows = rows_of(short[a : a + CACHE // 2])
                     old = rows < n_known
                     total += logs[rows[old]].sum(axis=0, dtype=np.float64) + scores[rows[~old] - n_known].sum(axis=0, dtype=np.float64)
                 best = int(total.argmax())

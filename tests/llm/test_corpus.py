@@ -232,3 +232,21 @@ def test_toxicity_is_normalised_by_length(spark):
     called = lambda t: [r.predicted for r in toxicity.score(docs(spark, t), model).collect()]
     assert sum(sum(called(t)) for (_, toxic), t in long.items() if not toxic) == 0
     assert all(all(called(t)) for (_, toxic), t in long.items() if toxic)
+
+
+def test_language_of_long_letter_runs(spark):
+    """All letters of a run count, in training and in scoring, wherever they stand."""
+    rnd = random.Random(8)
+    run = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    start = run("pqr", 64)  # the same in all texts of the training
+    labelled = [(i, start + run(letters, 900), lang) for i, (lang, letters) in enumerate([("a", "bcdf"), ("z", "wxyv")] * 20)]
+    model = langid.fit(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    assert not model.words and sum(model.languages.index(x) for x in "az") == 1
+    texts = [run("wxyv", 64) + run("bcdf", 3000), run("bcdf", 64) + run("wxyv", 3000), run("wxyv", 70) + run("bcdf", 200_000), run("bcdf", 2000) + " wxyv wyxv vxwy"]
+    assert [r.lang_pred for r in langid.predict(docs(spark, texts), model, F.lit(False)).orderBy("doc_id").collect()] == ["a", "z", "a", "a"]
+    for n in (1, 63, 64, 65, 66, 127, 128, 129, 130, 1000):
+        w = run("bcdf", n)
+        pieces, whole = langid.bordered_of(w), f"^{w}$"
+        for k in range(1, langid.LONGEST + 1):
+            got = [p[i : i + k] for j, p in enumerate(pieces) for i in range(len(p) - k + 1) if i < langid.SHORT or j == len(pieces) - 1]
+            assert got == [whole[i : i + k] for i in range(len(whole) - k + 1)]
