@@ -102,6 +102,14 @@ def turn_edit_ratio(spark, sf):
     return t.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("x", "p").cast("long").alias("distance"), F.round(T.edit_similarity(F.col("x"), F.col("p")), 4).alias("similarity"))
 
 
+@query()
+def turn_edit_ratio_whole(spark, sf):
+    """The edit ratio of whole turns by code points; without SQL, as DuckDB's levenshtein counts bytes."""
+    t = table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("x"))
+    before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("x").alias("p"))
+    return t.join(before, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("x", "p").cast("long").alias("distance"), F.round(T.edit_similarity(F.col("x"), F.col("p")), 4).alias("similarity"))
+
+
 @query("""WITH y AS (SELECT o_custkey, CAST(substr(CAST(o_orderdate AS VARCHAR), 1, 4) AS INT) AS y, max(o_orderstatus) AS s FROM orders GROUP BY 1, 2),
 lim AS (SELECT max(y) - 1 AS late, max(y) - 2 AS early FROM y), a AS (SELECT o_custkey, s FROM y, lim WHERE y = early), b AS (SELECT o_custkey, s FROM y, lim WHERE y = late)
 SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'new' WHEN b.o_custkey IS NULL THEN 'cancelled' WHEN a.s IS NOT DISTINCT FROM b.s THEN 'kept' ELSE 'modified' END AS status, a.s AS pre, b.s AS post

@@ -72,3 +72,20 @@ def test_entry_imports_without_the_corpus_operators(tmp_path):
     shutil.copy("__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op')] and 'dup_keys' in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_edit_ratio_of_whole_turns(spark, tmp_path):
+    """Against brute force over code points, with turns that differ only outside ASCII."""
+    turns = ["añb😀", "anb😁", "日本語の文", "日本の文章", None, "", "été", "ete", "e\u0301te", "plain", "plaîn😀😀"]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(turns)], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {}
+    for i, (p, x) in enumerate(zip(turns, turns[1:], strict=False), 1):
+        p, x = p or "", x or ""
+        row = list(range(len(p) + 1))
+        for k, c in enumerate(x, 1):
+            old, row = row, [k]
+            for j, d in enumerate(p, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
+        want[i] = (row[-1], round(1 - row[-1] / max(len(p), len(x)), 4) if p or x else 1.0)
+    got = {r.turn: (r.distance, r.similarity) for r in QUERIES["turn_edit_ratio_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and want[1] == (2, 0.5)
