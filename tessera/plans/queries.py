@@ -306,8 +306,8 @@ def dense_topk_dedup(spark, sf):
 
 @query()
 def parse_claims(spark, sf):
-    rows = [(1, "1. (Original) A [[b]] __c__.\nClaim 2 (Currently Amended): D\n(New) Claim 3: E"), (2, None), (3, "no claims")]
-    return claims.claims(spark.createDataFrame(rows, "response_id long, text string"))
+    """The claims in every whole text of documents."""
+    return claims.claims(table(spark, sf, "documents"), "doc_id")
 
 
 @query()

@@ -89,3 +89,14 @@ def test_edit_ratio_of_whole_turns(spark, tmp_path):
         want[i] = (row[-1], round(1 - row[-1] / max(len(p), len(x)), 4) if p or x else 1.0)
     got = {r.turn: (r.distance, r.similarity) for r in QUERIES["turn_edit_ratio_whole"](spark, str(tmp_path)).collect()}
     assert got == want and want[1] == (2, 0.5)
+
+
+def test_parse_claims_reads_every_whole_text(spark, tmp_path):
+    long = "\n".join(f"{i}. (Original) " + "word " * 50 for i in range(1, 3001))
+    texts = ["1. (Original) A [[b]] __c__.\nClaim 2 (Currently Amended): D\n(New) Claim 3: E", None, "no claims", long, "9" * 30 + ". (New) F", "9" * 5000 + ". (New) G"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in QUERIES["parse_claims"](spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert {k: [(r.pos, r.num) for r in sorted(v, key=lambda r: r.pos)] for k, v in got.items()} == {0: [(0, 1), (1, 2), (2, 3)], 3: [(i, i + 1) for i in range(3000)], 4: [(0, None)], 5: [(0, None)]}
+    assert {r.body for r in got[3]} == {("word " * 50).strip()} and got[4][0].status == "new"
