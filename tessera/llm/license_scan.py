@@ -3,9 +3,10 @@
 Paragraphs (lines) are classified by multinomial logistic regression over the
 presence of words and word pairs.  A class "none" stands for other text; its
 examples are paragraphs of the corpus.  Probabilities are tempered on examples
-that the training has not seen, and a paragraph that looks like a licence but
-belongs to no family with enough probability, or that no template of its family
-confirms, is "unknown".
+that the training has not seen, of its families and of others, and a paragraph
+that looks like a licence but belongs to no family with enough probability, or
+that no template of its family confirms, or that does not name the family with
+its version, clauses and terms, is "unknown".
 
 The main path is DataFrame functions alone: whole texts are split, gated and
 scored row by row, without a shuffle, a join or Python.  Training runs on a
@@ -62,6 +63,27 @@ NAMES = {
     "proprietary": ["a proprietary license, all rights reserved"],
 }
 OPENINGS = ["Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "Distributed under {}.", "This project is available under {}."]
+#: What of a family's words, in this order, tells it from others (of the words between single spaces).
+_V2, _V3 = r"(version |v )?v?2( 0)?\b(?! [0-9]\b)", r"(version |v )?v?3( 0)?\b(?! [0-9]\b)"
+MARKS = {
+    "apache-2.0": rf"\bapache (license )?{_V2}",
+    "bsd-3-clause": r"\bbsd (license )?3 clause\b(?! clear)|\b(3|three) clause bsd\b|\b(new|revised|modified) bsd license\b",
+    "cc-by-4.0": r"\b(cc by|commons attribution) (version )?v?4 0\b",
+    "cc-by-nc-4.0": r"\b(cc by nc|commons attribution non ?commercial) (version )?v?4 0\b",
+    "cc-by-sa-4.0": r"\b(cc by sa|commons attribution share ?alike) (version )?v?4 0\b",
+    "gpl-3.0": rf"\bgnu general public license (as published by the free software foundation )?(either )?{_V3}|(?<!lesser )(?<!library )(?<!affero )\bgpl {_V3}|\bgplv3\b",
+    "mit": r"\bmit license\b|\bpermission is hereby granted free of charge to any person obtaining a copy of this software\b",
+    "mpl-2.0": rf"\b(mozilla public license|mpl) {_V2}",
+    "proprietary": r"\ball rights reserved\b|\bno part of this work may be reproduced\b",
+}
+#: The opening of all BSD licences, and what of the rest of the text has three clauses: the third, and not the one on advertising.
+BSD_OPENING, BSD_THIRD, BSD_FOURTH = r"\bredistribution and use in source and binary forms\b", "neither[^a-z0-9]+the[^a-z0-9]+names?[^a-z0-9]+of", "all[^a-z0-9]+advertising[^a-z0-9]+materials"
+#: Notices of families that are not in the training; none of them should come out as sure.
+OUTSIDE = [
+    "This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU Lesser General Public License, version 2.1.", "Distributed under the GNU Affero General Public License, version 3.", "Released under the BSD 2-Clause License.",
+    "Licensed under CC BY 3.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under the Apache License, Version 1.1.", "Licensed under the Mozilla Public License, version 1.1.", "Released under the ISC License.",
+    "This project is available under the Eclipse Public License 2.0.", "Distributed under the Boost Software License, Version 1.0.", "Released under the zlib License.", "Licensed under the Artistic License 2.0.", "Released under the Unlicense.",
+]
 NONE, UNKNOWN = "none", "unknown"
 #: Paragraphs of the corpus that stand for "none" in training, at most about; confidence and template share asked for.
 NEGATIVES, LEAST_PROBABILITY, LEAST_SHARE = 2_000, 0.5, 0.6
@@ -117,7 +139,14 @@ def fit(negatives: list[str], rounds: int = 400) -> Model:
         mw, mb = 0.9 * mw + a.T @ g + 2e-5 * w, 0.9 * mb + g.sum(axis=0)
         w, b = w - 4.0 * mw, b - 4.0 * mb
     z = x[~fitted] @ w + b
-    loss = lambda k: -(z / k)[np.arange(len(z)), y[~fitted]].mean() + np.logaddexp.reduce(z / k, axis=1).mean()
+    others = np.array([[float(g in held_by) for g in vocabulary] for held_by in (grams_of(words_of(t)) for t in OUTSIDE)]) @ w + b
+    others = others[others.argmax(axis=1) > 0]  # a family is the nearest, and the surer it is the worse
+
+    def loss(k: float) -> float:
+        known = np.logaddexp.reduce(z / k, axis=1) - (z / k)[np.arange(len(z)), y[~fitted]]
+        surest = np.exp(others.max(axis=1) / k - np.logaddexp.reduce(others / k, axis=1))
+        return float((known.sum() - np.log(np.maximum(1 - surest, 1e-9)).sum()) / (len(z) + len(others)))
+
     temperature = float(min(np.geomspace(0.5, 4, 25), key=loss))
     # The gate: a paragraph of the n-grams outside `held` alone cannot bring a family above "none".
     held: set[str] = set()
@@ -153,7 +182,7 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs, and ``found``: per paragraph that is not "none" its place, family, probability, share of the template."""
     triggers = _text(model.triggers)
     lines = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda p: F.length(F.trim(p)) > 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lines.alias("lines")).withColumn("n_paragraphs", F.size("lines").cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lines.alias("lines")).withColumn("n_paragraphs", F.size("lines").cast("long"))
     gated = F.transform("lines", lambda p, i: F.struct(i.alias("place"), _words(p).alias("words")))
     rows = rows.withColumn("kept", F.filter(gated, lambda p: F.arrays_overlap(p["words"], triggers))).drop("lines")
 
@@ -173,14 +202,22 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
         top = F.array_max(p["z"])
         return F.struct(p["place"].alias("place"), p["words"].alias("words"), F.array_position(p["z"], top).alias("best"), (1 / F.aggregate(p["z"], F.lit(0.0), lambda a, v: a + F.exp(v - top))).alias("probability"))
 
+    def marked(family: Column, words: Column) -> Column:
+        line = F.concat_ws(" ", words)
+        named = F.lit(False)
+        for f, mark in MARKS.items():
+            named = F.when(family == f, line.rlike(mark)).otherwise(named)
+        three = line.rlike(BSD_OPENING) & F.lower("text").rlike(BSD_THIRD) & ~F.lower("text").rlike(BSD_FOURTH)
+        return F.when(named, True).when(family == "bsd-3-clause", three).otherwise(False)
+
     def verdict(p: Column) -> Column:
         family = F.element_at(_text(model.classes), p["best"].cast("int"))
         share = F.array_max(F.transform(F.element_at(templates, family), lambda t: F.size(F.array_intersect(t, p["words"])) / F.size(t)))
-        return F.struct(p["place"].alias("place"), family.alias("closest"), p["probability"].alias("probability"), F.coalesce(share, F.lit(0.0)).alias("share"))
+        return F.struct(p["place"].alias("place"), family.alias("closest"), p["probability"].alias("probability"), F.coalesce(share, F.lit(0.0)).alias("share"), marked(family, p["words"]).alias("marked"))
 
     rows = rows.withColumn("kept", F.transform("kept", logits)).withColumn("kept", F.transform("kept", odds))
     rows = rows.withColumn("kept", F.transform(F.filter("kept", lambda p: p["best"] > 1), verdict))
-    sure = lambda p: (p["probability"] >= LEAST_PROBABILITY) & (p["share"] >= LEAST_SHARE)
+    sure = lambda p: (p["probability"] >= LEAST_PROBABILITY) & (p["share"] >= LEAST_SHARE) & p["marked"]
     named = lambda p: F.struct(p["place"].alias("place"), F.when(sure(p), p["closest"]).otherwise(UNKNOWN).alias("family"), p["closest"].alias("closest"), p["probability"].alias("probability"), p["share"].alias("share"))
     return rows.select("doc_id", "n_paragraphs", F.transform("kept", named).alias("found"))
 
@@ -210,8 +247,8 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def classify(text: str, model: Model) -> tuple[str, float, float]:
-    """The plain form of one paragraph's verdict, for tests: family, probability, share."""
+def classify(text: str, model: Model, document: str | None = None) -> tuple[str, float, float]:
+    """The plain form of one paragraph's verdict, for tests: family, probability, share; ``document`` is the text that it stands in."""
     words = words_of(text)
     z = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams_of(words) if g in model.weights), np.zeros(len(model.bias)))
     z = z / model.temperature
@@ -220,7 +257,9 @@ def classify(text: str, model: Model) -> tuple[str, float, float]:
     if best == 0:
         return NONE, p, 0.0
     share = max(len({*words} & {*words_of(t)}) / len({*words_of(t)}) for t in TEMPLATES[model.classes[best]])
-    return (model.classes[best] if p >= LEAST_PROBABILITY and share >= LEAST_SHARE else UNKNOWN), p, share
+    line, whole = " ".join(words), (text if document is None else document).lower()
+    marked = re.search(MARKS[model.classes[best]], line) or (model.classes[best] == "bsd-3-clause" and re.search(BSD_OPENING, line) and re.search(BSD_THIRD, whole) and not re.search(BSD_FOURTH, whole))
+    return (model.classes[best] if p >= LEAST_PROBABILITY and share >= LEAST_SHARE and marked else UNKNOWN), p, share
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

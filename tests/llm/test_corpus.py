@@ -250,3 +250,14 @@ def test_language_of_long_letter_runs(spark):
         for k in range(1, langid.LONGEST + 1):
             got = [p[i : i + k] for j, p in enumerate(pieces) for i in range(len(p) - k + 1) if i < langid.SHORT or j == len(pieces) - 1]
             assert got == [whole[i : i + k] for i in range(len(whole) - k + 1)]
+
+
+def test_license_of_another_version_is_unknown(spark):
+    """Licences outside the training are not confirmed as their neighbours; those in it are."""
+    model = license_scan.fit(license_scan.negatives_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    opening = license_scan.TEMPLATES["bsd-3-clause"][1]
+    texts = [*license_scan.OUTSIDE, "Distributed under the GNU Lesser General Public License, version 3.", "Released under the BSD 4-Clause License.", "Licensed under CC BY-SA 3.0.", "Licensed under CC BY-NC-ND 4.0.", opening]
+    own = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts if t != opening] + [("bsd-3-clause", f"{opening}\n3. Neither the name of the holder")]
+    got = [r.families for r in license_scan.scan(docs(spark, texts + [t for _, t in own]), model).orderBy("doc_id").collect()]
+    assert got == [""] * len(texts) + [f for f, _ in own]
+    assert license_scan.classify(own[-1][1].split("\n")[0], model, own[-1][1])[0] == "bsd-3-clause"
