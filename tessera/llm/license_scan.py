@@ -1,7 +1,9 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines) are classified by multinomial logistic regression over the
-presence of words and word pairs.  A class "none" stands for other text; its
+Lines, and then what is left of the paragraphs between blank lines, are classified
+by multinomial logistic regression over the presence of words and word pairs: a
+line that is confirmed alone is a notice of its own, and the others of its
+paragraph are joined, as notices are often wrapped.  A class "none" stands for other text; its
 examples are paragraphs of the corpus.  Probabilities are tempered on examples
 that the training has not seen, of its families and of others, and a paragraph
 that looks like a licence but belongs to no family with enough probability, or
@@ -88,6 +90,8 @@ NONE, UNKNOWN = "none", "unknown"
 #: Paragraphs of the corpus that stand for "none" in training, at most about; confidence and template share asked for.
 NEGATIVES, LEAST_PROBABILITY, LEAST_SHARE = 2_000, 0.5, 0.6
 _SPLIT = "[^a-z0-9]+"
+#: Between paragraphs: lines without a letter or digit, so a comment's empty lines too.
+_BLANK = r"\n[^\p{L}\p{N}]*\n"
 
 
 def words_of(text: str) -> list[str]:
@@ -179,12 +183,18 @@ def _text(values: list[str]) -> Column:
 
 
 def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_paragraphs, and ``found``: per paragraph that is not "none" its place, family, probability, share of the template."""
+    """doc_id, n_paragraphs (lines that are not blank), and ``found``: for each line or joined paragraph that is not "none" its place, family, probability, share of the template.
+
+    A paragraph's unconfirmed lines are joined, and if they are confirmed so they
+    are one entry at the place of the first; else each line keeps its own verdict.
+    """
     triggers = _text(model.triggers)
-    lines = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda p: F.length(F.trim(p)) > 0)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lines.alias("lines")).withColumn("n_paragraphs", F.size("lines").cast("long"))
-    gated = F.transform("lines", lambda p, i: F.struct(i.alias("place"), _words(p).alias("words")))
-    rows = rows.withColumn("kept", F.filter(gated, lambda p: F.arrays_overlap(p["words"], triggers))).drop("lines")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("n_paragraphs", F.size(F.filter(F.split("text", "\n"), lambda p: F.length(F.trim(p)) > 0)).cast("long"))
+    parts = F.transform(F.split("text", _BLANK), lambda p, i: F.transform(F.split(p, "\n"), lambda q, k: F.struct(F.struct(i.alias("part"), k.alias("line")).alias("place"), _words(q).alias("words"))))
+    gated = F.transform(parts, lambda ls: F.transform(ls, lambda p: F.struct(p["place"].alias("place"), p["words"].alias("words"), F.arrays_overlap(p["words"], triggers).alias("gated"))))
+    rows = rows.withColumn("lines", F.filter(gated, lambda ls: F.exists(ls, lambda p: p["gated"])))
 
     def grams(words: Column) -> Column:
         pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.expr("CAST(array() AS array<string>)"))
@@ -194,13 +204,13 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
     bias = F.array(*[F.lit(v) for v in model.bias])
     templates = F.map_from_arrays(_text(list(TEMPLATES)), F.array(*[F.array(*[_text(sorted(set(words_of(t)))) for t in ts]) for ts in TEMPLATES.values()]))
 
-    def logits(p: Column) -> Column:
-        total = F.aggregate(grams(p["words"]), bias, lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
-        return F.struct(p["place"].alias("place"), p["words"].alias("words"), F.transform(total, lambda v: v / model.temperature).alias("z"))
+    def logits(words: Column) -> Column:
+        total = F.aggregate(grams(words), bias, lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda a, b: a + b))
+        return F.transform(total, lambda v: v / model.temperature)
 
-    def odds(p: Column) -> Column:
-        top = F.array_max(p["z"])
-        return F.struct(p["place"].alias("place"), p["words"].alias("words"), F.array_position(p["z"], top).alias("best"), (1 / F.aggregate(p["z"], F.lit(0.0), lambda a, v: a + F.exp(v - top))).alias("probability"))
+    def odds(z: Column) -> Column:
+        top = F.array_max(z)
+        return F.struct(F.array_position(z, top).alias("best"), (1 / F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - top))).alias("probability"))
 
     def marked(family: Column, words: Column) -> Column:
         line = F.concat_ws(" ", words)
@@ -210,15 +220,28 @@ def paragraphs(docs: DataFrame, model: Model) -> DataFrame:
         three = line.rlike(BSD_OPENING) & F.lower("text").rlike(BSD_THIRD) & ~F.lower("text").rlike(BSD_FOURTH)
         return F.when(named, True).when(family == "bsd-3-clause", three).otherwise(False)
 
-    def verdict(p: Column) -> Column:
-        family = F.element_at(_text(model.classes), p["best"].cast("int"))
-        share = F.array_max(F.transform(F.element_at(templates, family), lambda t: F.size(F.array_intersect(t, p["words"])) / F.size(t)))
-        return F.struct(p["place"].alias("place"), family.alias("closest"), p["probability"].alias("probability"), F.coalesce(share, F.lit(0.0)).alias("share"), marked(family, p["words"]).alias("marked"))
-
-    rows = rows.withColumn("kept", F.transform("kept", logits)).withColumn("kept", F.transform("kept", odds))
-    rows = rows.withColumn("kept", F.transform(F.filter("kept", lambda p: p["best"] > 1), verdict))
-    sure = lambda p: (p["probability"] >= LEAST_PROBABILITY) & (p["share"] >= LEAST_SHARE) & p["marked"]
-    named = lambda p: F.struct(p["place"].alias("place"), F.when(sure(p), p["closest"]).otherwise(UNKNOWN).alias("family"), p["closest"].alias("closest"), p["probability"].alias("probability"), p["share"].alias("share"))
+    def verdict(o: Column, words: Column) -> Column:
+        family = F.element_at(_text(model.classes), o["best"].cast("int"))
+        share = F.coalesce(F.array_max(F.transform(F.element_at(templates, family), lambda t: F.size(F.array_intersect(t, words)) / F.size(t))), F.lit(0.0))
+        sure = (o["probability"] >= LEAST_PROBABILITY) & (share >= LEAST_SHARE) & marked(family, words)
+        return F.struct(family.alias("closest"), o["probability"].alias("probability"), share.alias("share"), sure.alias("sure"))
+
+    # Each step is a column of its own, as a lambda's expressions are worked out wherever they are named.
+    steps = [
+        lambda p: F.struct(p["place"].alias("place"), p["words"].alias("words"), F.when(p["gated"], logits(p["words"])).alias("v")),
+        lambda p: F.struct(p["place"].alias("place"), p["words"].alias("words"), F.when(p["v"].isNotNull(), odds(p["v"])).alias("v")),
+        lambda p: F.struct(p["place"].alias("place"), p["words"].alias("words"), F.when(p["v"]["best"] > 1, verdict(p["v"], p["words"])).alias("v")),
+    ]
+    sure = lambda p: F.coalesce(p["v"]["sure"], F.lit(False))
+    named = lambda p: F.struct(p["place"].alias("place"), F.when(p["v"]["sure"], p["v"]["closest"]).otherwise(UNKNOWN).alias("family"), p["v"]["closest"].alias("closest"), p["v"]["probability"].alias("probability"), p["v"]["share"].alias("share"))
+    for step in steps:
+        rows = rows.withColumn("lines", F.transform("lines", lambda ls: F.transform(ls, step)))  # noqa: B023
+    rows = rows.withColumn("lines", F.transform("lines", lambda ls: F.struct(F.filter(ls, sure).alias("alone"), F.filter(ls, lambda p: ~sure(p)).alias("rest"))))
+    rows = rows.withColumn("joined", F.transform("lines", lambda s: F.struct(F.get(s["rest"], F.lit(0))["place"].alias("place"), F.flatten(F.transform(s["rest"], lambda p: p["words"])).alias("words"), (F.size(s["rest"]) > 1).alias("gated"))))
+    for step in steps:
+        rows = rows.withColumn("joined", F.transform("joined", step))
+    best = lambda s, j: F.concat(s["alone"], F.when(sure(j), F.array(j)).otherwise(F.filter(s["rest"], lambda p: p["v"].isNotNull())))
+    rows = rows.withColumn("kept", F.flatten(F.zip_with("lines", "joined", best)))
     return rows.select("doc_id", "n_paragraphs", F.transform("kept", named).alias("found"))
 
 

@@ -261,3 +261,17 @@ def test_license_of_another_version_is_unknown(spark):
     got = [r.families for r in license_scan.scan(docs(spark, texts + [t for _, t in own]), model).orderBy("doc_id").collect()]
     assert got == [""] * len(texts) + [f for f, _ in own]
     assert license_scan.classify(own[-1][1].split("\n")[0], model, own[-1][1])[0] == "bsd-3-clause"
+
+
+def test_wrapped_license_notices(spark):
+    """A notice over several lines is found whole, one on a line of its own as before."""
+    model = license_scan.fit(license_scan.negatives_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    third = "3. Neither the name of the holder nor the names of its\ncontributors may be used"
+    hashed = "#\n# " + gpl.replace("\n", "\n# ") + "\n#\n# Other"
+    texts = [gpl, mit, f"{bsd}\n\n{third}", bsd, hashed, f"Title\n\n{mit}\n\n{gpl}\n\nReleased under the MIT License.\nAll rights reserved.", gpl.replace("version 3", "version 2"), "\n" * 50_000 + mit, "All rights reserved.\n" * 3000]
+    got = {r.doc_id: r for r in license_scan.scan(docs(spark, texts), model).collect()}
+    assert [got[i].families for i in range(9)] == ["gpl-3.0", "mit", "bsd-3-clause", "", "gpl-3.0", "gpl-3.0,mit,proprietary", "", "mit", "proprietary"]
+    assert [got[i].n_license for i in (0, 1, 2, 5, 8)] == [1, 1, 1, 4, 3000] and got[3].license == got[6].license == "unknown"
