@@ -4,8 +4,9 @@ Texts with the same shingle set form a class, so copies cost nothing.  Under any
 total order of all shingles, two sets with similarity >= t share a shingle
 among the first n - ceil(t n) + 1 of each, their prefix.  Two different orders
 are used, both with shingles of many documents last and a hash of their own
-before that; a candidate pair must share a prefix shingle under both, and is
-verified on the full sets.
+before that.  The pairs of a class with the first and the most central class of
+its groups must share a prefix shingle under the first order alone, all other
+candidates under both; every pair is verified on the full sets.
 
 Groups of a prefix shingle are not expanded into pairs.  A class leaves a group
 if so much of its prefix is its own that it can be similar to no set of the
