@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only when it has been counted and is not larger than this.
 BROADCAST_BYTES = 48 << 20
+#: Python workers take a batch of texts in slices of at most so many bytes and rows.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 4_000
+
+_own_folders: dict[str, str] = {}
+_kept: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, with its file system named.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made and
-    the setting is filled in, so later calls use the same folder.
+    Where that is unset, a session on this machine alone gets a temporary folder
+    of its own; on a cluster there is none that all could read, which is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        path = _own_folders.setdefault(context.applicationId, "")
+        path = _own_folders[context.applicationId] = path or "file://" + tempfile.mkdtemp(prefix="tessera-")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -34,6 +47,43 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def kept(name: str, make):
+    """What ``make`` gave a worker under this name before, if nothing else was asked for since.
+
+    A worker serves many tasks of many stages, one after the other; it remembers
+    the tables of one operator at a time, so they do not add up.
+    """
+    if name not in _kept:
+        if _kept:
+            _kept.clear()
+            returned()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def returned() -> None:
+    """Gives freed memory of a worker back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def sliced(batch: pa.RecordBatch, text: int, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """All of a batch in slices whose texts (column ``text``) have about ``most_bytes`` bytes, one text at least."""
+    column, at, n = batch.column(text), 0, len(batch)
+    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    while at < n:
+        end, size = at, 0
+        while end < n and end - at < most_rows and (end == at or size + sizes[end] <= most_bytes):
+            size += int(sizes[end])
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -60,6 +110,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def chosen(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, also where others differ from them in case alone."""
+    columns = docs.columns
+    placed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    return placed.select([F.col(f"c{columns.index(n)}").alias(n) for n in names])
+
+
 def joined(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``big`` joined with a *stored* ``small``, which is broadcast only up to ``limit`` bytes.
 
