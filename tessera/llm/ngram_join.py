@@ -21,7 +21,6 @@ their shingles, and those pairs must survive the intersection of the orders.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import joined, release, stored
+from tessera.llm.common import joined, kept, release, sliced, stored
 
 SIZE, PERCENT = 5, 75
 #: Shingles are ordered last if they are in OFTEN documents of a scan batch and in IN_ALL that way; so many are kept at most.
@@ -38,12 +37,12 @@ OFTEN, IN_ALL, COMMON = 3, 12, 1_000_000
 LARGE = 32
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_WORDS = 400_000
+#: Words whose hashes a worker remembers.
+_WORDS = 150_000
 
 
-@lru_cache(maxsize=1)
 def _word_hashes() -> dict[bytes, int]:
-    return {}
+    return kept("hashes of words", dict)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -93,9 +92,10 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column(0)]
-            if sets:
-                values, n = np.unique(np.concatenate(sets), return_counts=True)
+            found = [np.unique(np.concatenate([shingles(t.as_py(), size) for t in part.column(0)]), return_counts=True) for part in sliced(batch, 0)]
+            if found:
+                values, back = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([k for _, k in found])).astype(np.int64)
                 often = n >= OFTEN
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
@@ -110,7 +110,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int, orde
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, 1)):
             n, prints, prefixes = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), size)
@@ -220,7 +220,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     nodes = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "nodes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["doc_id", "s"])
 
     full = stored(joined(docs.select("doc_id", "text"), nodes, "doc_id", "left_semi", row_bytes=48).mapInArrow(sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "sets")

@@ -20,7 +20,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessera.llm.common import stored
+from tessera.llm.common import joined, kept, sliced, stored
 
 WINDOW = 2048
 #: Entries of each of a worker's two caches; the first half of them stays when one is full.
@@ -89,10 +88,9 @@ class Encoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=1)
 def encoder_of(path: str) -> Encoder:
     """A worker's encoder: the next task it runs finds the caches warm."""
-    return Encoder(path)
+    return kept(f"encoder of {path}", lambda: Encoder(path))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
@@ -107,7 +105,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WI
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, 1)):
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = encoder.encode(text.as_py() or "") + end
                 n, doc_id = len(ids) // 4, doc_id.as_py()
@@ -214,10 +212,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     table = spark.createDataFrame(plan, "length long, first_rank long, ranks long, first_sequence long, share long, at long")
     runs = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first_rank", "ranks", "first_sequence", "share", "at"))).alias("runs"))
     within = W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    ranked = joined(dealt.withColumn("k", F.row_number().over(within) - 1), stored(starts, "starts"), ["length", "bucket"], "inner", row_bytes=64)
     ranked = (
-        dealt.withColumn("k", F.row_number().over(within) - 1)
-        .join(starts, ["length", "bucket"])
-        .withColumn("rank", F.col("ranked") + F.col("k"))
+        ranked.withColumn("rank", F.col("ranked") + F.col("k"))
         .join(F.broadcast(runs), "length")  # at most `window` rows with few runs each
     )
     run = F.element_at(F.filter("runs", lambda r: (r["first_rank"] <= F.col("rank")) & (F.col("rank") < r["first_rank"] + r["ranks"])), 1)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_sample, id_hash
+from tessera.llm.common import hash_sample, id_hash, sliced
 
 #: Signs read as letters, and letters of other scripts that look like Latin ones.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model, extra: dict[str, Column] | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         found = automaton(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, 1)):
             got = [strength(t.as_py() or "", found) for t in batch.column(1)]
             p = [1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * x + model.level)))) for x, _, _ in got]
             yield pa.RecordBatch.from_arrays(
@@ -222,14 +222,18 @@ def score(docs: DataFrame, model: Model, extra: dict[str, Column] | None = None,
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more, all columns kept."""
+    """``docs`` without the rows that score ``threshold`` or more, all columns kept.
+
+    ``docs`` needs text; its other columns are passed on as they are, whatever
+    their names.  Nulls and empty texts count as in score(); no rows, no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = docs.columns.index("text")  # by place: another column may differ from it in case alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         found = automaton(model)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole, at)):
             z = [model.slope * strength(t.as_py() or "", found)[0] + model.level for t in batch.column(at)]
             yield batch.filter(pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) < threshold for x in z], pa.bool_()))
 
