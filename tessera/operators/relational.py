@@ -76,11 +76,11 @@ def against_targets(df: DataFrame, key: str, targets: dict[str, int]) -> DataFra
 
 
 def histogram(df: DataFrame, value: str, edges: list[int]) -> DataFrame:
-    """Counts of ``value`` up to each edge, and beyond the last."""
-    label, low = None, None
+    """Counts of ``value`` up to each edge, and beyond the last; nulls are a bucket of their own."""
+    label, low = F.when(F.col(value).isNull(), "(null)"), None
     for e in edges:
         name = f"<={e}" if low is None else f"{low + 1}-{e}"
-        label = F.when(F.col(value) <= e, name) if label is None else label.when(F.col(value) <= e, name)
+        label = label.when(F.col(value) <= e, name)
         low = e
     return df.groupBy(label.otherwise(f">{low}").alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -92,11 +92,16 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 def phrase_counts(df: DataFrame, tokens: Column, ident: str, n: int, artifacts: list[str] = ()) -> DataFrame:
     """Every n-gram with its count and document frequency, without those that hold an artifact token.
 
-    Counted per document first, so the shuffle carries a row a phrase and task.
+    One shuffle, with partial counts in every task: a document's n-grams are
+    sorted where they are, and the first of equal ones counts the document.
     """
-    from tessera.functions.text import ngrams
+    from tessera.functions.text import bound, ngrams
 
-    grams = df.select(ident, F.explode(ngrams(tokens, n)).alias("phrase"))
+    def firsts(g: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(g, 1, F.greatest(F.size(g) - 1, F.lit(0))))
+        return F.zip_with(g, F.slice(before, 1, F.size(g)), lambda x, y: F.struct(x.alias("phrase"), (~x.eqNullSafe(y)).cast("int").alias("new")))
+
+    grams = df.select(ident, F.inline(bound(F.sort_array(ngrams(tokens, n)), firsts)))
     if artifacts:
         grams = grams.where(~F.arrays_overlap(F.split("phrase", " "), F.array(*[F.lit(a) for a in artifacts])))
-    return grams.groupBy("phrase", ident).agg(F.count("*").alias("c")).groupBy("phrase").agg(F.sum("c").alias("pool_count"), F.count("*").alias("pool_docs"))
+    return grams.groupBy("phrase").agg(F.count("*").alias("pool_count"), F.sum("new").alias("pool_docs"))

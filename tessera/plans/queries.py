@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessera.functions import text as T
-from tessera.operators import claims, cohort, relational as R, stats as S
+from tessera.operators import claims, cohort
+from tessera.operators import relational as R
+from tessera.operators import stats as S
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -38,12 +40,13 @@ def _grams(tokens: str, n: int) -> str:
 _PHRASES = f"""
 tok AS (SELECT doc_id, {_TOK.format("text")} AS w FROM documents),
 grams AS (SELECT doc_id, unnest({_grams("w", 4)}) AS phrase FROM tok),
-mined AS (SELECT phrase, count(*) AS pool_count, count(DISTINCT doc_id) AS pool_docs FROM grams GROUP BY phrase HAVING count(*) >= 20),
+mined AS (SELECT phrase, count(*) AS pool_count, count(DISTINCT doc_id) AS pool_docs FROM grams
+  WHERE NOT list_has_any(string_split(phrase, ' '), ['svg', 'clm', 'chemistryblack', 'chemistrywhite', 'xmlns', 'xsi', 'xlink', 'href', 'inkscape', 'sodipodi', 'rdf', 'cdata']) GROUP BY phrase HAVING count(*) >= 20),
 top AS (SELECT * FROM mined ORDER BY pool_count DESC, phrase LIMIT 50)"""
 
 
 def _top_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    counts = R.phrase_counts(table(spark, sf, "documents"), T.word_tokens(F.col("text")), "doc_id", 4)
+    counts = R.phrase_counts(table(spark, sf, "documents"), T.word_tokens(F.col("text")), "doc_id", 4, T.ARTIFACTS)
     return counts.where("pool_count >= 20").orderBy(F.desc("pool_count"), "phrase").limit(50)
 
 
@@ -69,14 +72,14 @@ def template_rate_by_role(spark, sf):
 b AS (SELECT item_id, unnest(list_distinct({_grams("w", 3)})) AS g FROM (SELECT item_id, {_TOK.format("text")} AS w FROM benchmark)),
 nd AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1), nb AS (SELECT item_id, count(*) AS n FROM b GROUP BY 1),
 m AS (SELECT doc_id, item_id, count(*) AS met FROM d JOIN b USING (g) GROUP BY 1, 2)
-SELECT doc_id, item_id, met, round(met / (nd.n + nb.n - met), 4) AS jaccard FROM m JOIN nd USING (doc_id) JOIN nb USING (item_id) WHERE met >= 5""")
+SELECT doc_id, item_id, met, round(met / (nd.n + nb.n - met), 4) AS jaccard FROM m JOIN nd USING (doc_id) JOIN nb USING (item_id)""")
 def trigram_jaccard_doc_benchmark(spark, sf):
     """Documents against benchmark items that share trigrams, by an inverted index instead of a cross join."""
     side = lambda t, k: table(spark, sf, t).select(k, T.trigram_set(F.col("text")).alias("s")).withColumn("n", F.size("s"))
     d, b = side("documents", "doc_id"), side("benchmark", "item_id")
     items = b.select("item_id", F.col("n").alias("nb"), F.explode("s").alias("g"))
     met = d.select("doc_id", F.col("n").alias("nd"), F.explode("s").alias("g")).join(items, "g").groupBy("doc_id", "item_id", "nd", "nb").agg(F.count("*").alias("met"))
-    return met.where("met >= 5").select("doc_id", "item_id", "met", F.round(F.col("met") / (F.col("nd") + F.col("nb") - F.col("met")), 4).alias("jaccard"))
+    return met.select("doc_id", "item_id", "met", F.round(F.col("met") / (F.col("nd") + F.col("nb") - F.col("met")), 4).alias("jaccard"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({*T.GENERAL_STOP, *T.CLAIM_STOP}))
@@ -94,7 +97,7 @@ def content_token_overlap(spark, sf):
 
 
 @query("""WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '', 'g') AS x FROM conversations)
-SELECT a.conv_id, a.turn, levenshtein(a.x, b.x) AS distance, round(CASE WHEN greatest(length(a.x), length(b.x)) = 0 THEN 1.0 ELSE 1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)) END, 4) AS similarity
+SELECT a.conv_id, a.turn, levenshtein(a.x, b.x) AS distance, round(CASE WHEN a.x = '' OR b.x = '' THEN 0.0 ELSE 1 - levenshtein(a.x, b.x) / greatest(length(a.x), length(b.x)) END, 4) AS similarity
 FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1""")
 def turn_edit_ratio(spark, sf):
     t = table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "").alias("x"))
@@ -199,12 +202,9 @@ def pct_of_total(spark, sf):
 @query("""WITH r AS (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
 SELECT l_returnflag, max(CASE WHEN k = n // 2 THEN v END) AS upper_median, max(CASE WHEN k = n // 4 THEN v END) AS q1, max(CASE WHEN k = 3 * n // 4 THEN v END) AS q3 FROM r GROUP BY 1""")
 def index_medians(spark, sf):
-    """Upper median and quartiles by index: a window rank picks them, so no group is collected into one row."""
-    w = W.partitionBy("l_returnflag")
-    rows = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("v")).withColumns({"k": F.row_number().over(w.orderBy("v")) - 1, "n": F.count("*").over(w)})
-    at = lambda e: F.max(F.when(F.col("k") == F.floor(e), F.col("v")))
+    """Upper median and quartiles by index; no group is sorted in one task."""
     n = F.col("n")
-    return rows.groupBy("l_returnflag").agg(at(n / 2).alias("upper_median"), at(n / 4).alias("q1"), at(3 * n / 4).alias("q3"))
+    return S.values_at(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"upper_median": F.floor(n / 2), "q1": F.floor(n / 4), "q3": F.floor(3 * n / 4)}).drop("n")
 
 
 @query("""SELECT event_type, round(median(m), 6) AS median, count(*) AS n_cases FROM (SELECT event_type, user_id, avg(value) AS m FROM events GROUP BY 1, 2) GROUP BY 1""")
@@ -227,7 +227,9 @@ def _deltas(spark, sf):
 @query(f"WITH {_DELTAS} SELECT probe, count(*) AS n, sum((delta > 0)::INT) AS hits, round(avg((delta > 0)::INT), 6) AS hit_rate, round(median(delta), 6) AS median_delta FROM d GROUP BY 1")
 def paired_delta_direction(spark, sf):
     hit = T.direction_hit(F.col("delta"), F.lit("UP"))
-    return _deltas(spark, sf).groupBy("probe").agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 6).alias("hit_rate"), F.round(F.median("delta"), 6).alias("median_delta"))
+    d = _deltas(spark, sf)
+    rates = d.groupBy("probe").agg(F.sum(hit).alias("hits"), F.round(F.avg(hit), 6).alias("hit_rate"))
+    return S.medians(d, ["probe"], "delta").join(rates, "probe").select("probe", "n", "hits", "hit_rate", F.round("median", 6).alias("median_delta"))
 
 
 @query(f"""WITH {_DELTAS}, z AS (SELECT *, rank() OVER (PARTITION BY probe ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY probe, abs(delta)) - 1) / 2.0 AS r FROM d WHERE delta <> 0)
@@ -245,7 +247,7 @@ def wilcoxon_holm(spark, sf):
 
 @query()
 def bootstrap_tost(spark, sf):
-    return S.bootstrap_tost(_deltas(spark, sf), ["probe"], "delta", margin=5.0)
+    return S.bootstrap_tost(_deltas(spark, sf), ["probe"], "delta", case="user_id")
 
 
 @query("""WITH p AS (SELECT l_returnflag AS family, l_linenumber AS id, count(*) / (SELECT count(*) FROM lineitem) AS p FROM lineitem GROUP BY 1, 2),

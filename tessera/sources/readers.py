@@ -15,14 +15,21 @@ from pyspark.sql.window import Window as W
 
 
 def json_documents(spark: SparkSession, paths: str | list[str], schema: StructType | str, multi_line: bool = True) -> DataFrame:
-    """A JSON document a file; unreadable ones are kept apart in ``_corrupt_record``, which skipped() counts."""
+    """A JSON document a file; unreadable ones have only ``_corrupt_record``; see readable()."""
     schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     return spark.read.schema(schema.add("_corrupt_record", "string")).option("multiLine", multi_line).option("mode", "PERMISSIVE").json(paths)
 
 
-def nested(spark: SparkSession, path: str, schema: str, field: str = "cases") -> DataFrame:
-    """The elements of a list inside one JSON document, as rows."""
-    return spark.read.schema(f"{field} array<struct<{schema}>>").option("multiLine", True).json(path).select(F.inline(field))
+def readable(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents that could be read, in the order of nothing, and a row with the number of those that were skipped."""
+    names = [c for c in documents.columns if c != "_corrupt_record"]
+    return documents.where("_corrupt_record IS NULL").select(*names), documents.agg(F.count("_corrupt_record").alias("n_skipped"))
+
+
+def nested(spark: SparkSession, path: str, schema: str, field: str = "cases", limit: int | None = None) -> DataFrame:
+    """The elements of a list inside one JSON document, as rows with their place ``pos``; with ``limit`` the first ones."""
+    rows = spark.read.schema(f"{field} array<struct<{schema}>>").option("multiLine", True).json(path).select(F.posexplode(field).alias("pos", "row")).select("pos", "row.*")
+    return rows if limit is None else rows.where(F.col("pos") < limit)
 
 
 def last_by_key(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
@@ -42,32 +49,46 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def _member(path: str, pos: int, name: str | None, content: bytes | None, error: str | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([pos], pa.int32()), pa.array([name], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], ["path", "pos", "name", "content", "error"])
+
+
 def archive_members(spark: SparkSession, path: str, suffix: str = ".xml") -> DataFrame:
-    """path, position, name and bytes of the matching members of tar archives."""
+    """path, position, name and bytes of the matching members of tar archives; a broken archive ends in a row with its ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for where, content in zip(batch.column(0), batch.column(1), strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py())) as tar:
-                    for k, member in enumerate(m for m in tar if m.isfile() and m.name.lower().endswith(suffix)):
-                        yield pa.RecordBatch.from_arrays([pa.array([where.as_py()]), pa.array([k], pa.int32()), pa.array([member.name]), pa.array([tar.extractfile(member).read()], pa.binary())], ["path", "pos", "name", "content"])
+                k = 0
+                try:
+                    with tarfile.open(fileobj=io.BytesIO(content.as_py())) as tar:
+                        for member in tar:
+                            if member.isfile() and member.name.lower().endswith(suffix):
+                                yield _member(where.as_py(), k, member.name, tar.extractfile(member).read(), None)
+                                k += 1
+                except (tarfile.TarError, EOFError, OSError) as broken:
+                    yield _member(where.as_py(), k, None, None, f"{type(broken).__name__}: {broken}")
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, pos int, name string, content binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, pos int, name string, content binary, error string")
 
 
 def document_kind(content: Column) -> Column:
-    """What the first 3000 bytes of an XML document say it is."""
+    """What the first 3000 bytes of an XML document say it is; the first that fits."""
     head = F.decode(F.substring(content, 1, 3000), "UTF-8")
-    return F.when(head.rlike(r"<\w+:(ClaimList|ClaimSet|Claims)\b"), "ns_claims").when(head.rlike(r"<claims\b"), "dtd_legacy").when(head.rlike(r"OutgoingDocument"), "outgoing").when(head.rlike(r"IncomingDocument"), "incoming").otherwise("unknown")
+    kind = F.lit("unknown")
+    # Root elements, the last first.
+    for name, mark in (("incoming", r"<[A-Za-z]+:?IncomingDocument\b"), ("outgoing", r"<[A-Za-z]+:?OutgoingDocument\b"), ("dtd_legacy", "<us-patent-application"), ("ns_claims", r"<[A-Za-z]+:?ClaimsDocument\b")):
+        kind = F.when(head.rlike(mark), name).otherwise(kind)
+    return kind
 
 
 def publication_id(name: Column) -> Column:
-    """A file name as a publication id: no extension, letters and digits only, null unless it is a US one."""
+    """A file name as a publication id: no extension, letters and digits only; null unless it begins with US."""
     bare = F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"[^A-Za-z0-9]", "")
-    return F.when(F.upper(bare).startswith("US"), F.upper(bare))
+    return F.when(bare.startswith("US"), bare)
 
 
-def template(path: str) -> list[str]:
-    """Names of the fields that a text template asks for."""
-    with open(path, encoding="utf-8") as f:
-        return re.findall(r"{(\w+)}", f.read())
+def template(spark: SparkSession, path: str) -> tuple[str, list[str]]:
+    """A text template, read through Spark, and the names of the fields that it asks for."""
+    text = spark.read.option("wholetext", True).text(path).first()[0]
+    return text, re.findall(r"{(\w+)}", text)

@@ -42,7 +42,10 @@ def test_parse_claims():
 def test_claim_numbers(spark):
     df = spark.createDataFrame([("1-3, 5",), ("9-2",), (None,), ("7–9",)], "t string")
     assert [r[0] for r in df.select(T.claim_numbers(F.col("t"))).collect()] == [[1, 2, 3, 5], [], [], [7, 9]]
-    assert [r[0] for r in df.select(T.claim_numbers(F.col("t"), "-–", True)).collect()] == [[1, 2, 3, 5], [9], [], [7, 8, 9]]
+    assert [r[0] for r in df.select(T.claim_numbers_loose(F.col("t"))).collect()] == [[1, 2, 3, 5], [9], [], [7, 8, 9]]
+    odd = spark.createDataFrame([("9" * 30 + ", 4",), ("x7 8y 9",), ("1-500",)], "t string")
+    assert [r[0] for r in odd.select(T.claim_numbers(F.col("t"))).collect()] == [[4], [9], []]
+    assert [r[0] for r in odd.select(T.claim_numbers_loose(F.col("t"))).collect()] == [[4], [9], [1]]
 
 
 def test_short_ngrams_are_none(spark):
@@ -86,7 +89,7 @@ def test_edit_ratio_of_whole_turns(spark, tmp_path):
             old, row = row, [k]
             for j, d in enumerate(p, 1):
                 row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
-        want[i] = (row[-1], round(1 - row[-1] / max(len(p), len(x)), 4) if p or x else 1.0)
+        want[i] = (row[-1], round(1 - row[-1] / max(len(p), len(x)), 4) if p and x else 0.0)
     got = {r.turn: (r.distance, r.similarity) for r in QUERIES["turn_edit_ratio_whole"](spark, str(tmp_path)).collect()}
     assert got == want and want[1] == (2, 0.5)
 
