@@ -92,16 +92,20 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 def phrase_counts(df: DataFrame, tokens: Column, ident: str, n: int, artifacts: list[str] = ()) -> DataFrame:
     """Every n-gram with its count and document frequency, without those that hold an artifact token.
 
-    One shuffle, with partial counts in every task: a document's n-grams are
-    sorted where they are, and the first of equal ones counts the document.
+    Positions are exploded before their words are joined, so the whole scan is
+    one generated loop; counts are partial in every task.
     """
-    from tessera.functions.text import bound, ngrams
-
-    def firsts(g: Column) -> Column:
-        before = F.concat(F.array(F.lit(None).cast("string")), F.slice(g, 1, F.greatest(F.size(g) - 1, F.lit(0))))
-        return F.zip_with(g, F.slice(before, 1, F.size(g)), lambda x, y: F.struct(x.alias("phrase"), (~x.eqNullSafe(y)).cast("int").alias("new")))
-
-    grams = df.select(ident, F.inline(bound(F.sort_array(ngrams(tokens, n)), firsts)))
-    if artifacts:
-        grams = grams.where(~F.arrays_overlap(F.split("phrase", " "), F.array(*[F.lit(a) for a in artifacts])))
-    return grams.groupBy("phrase").agg(F.count("*").alias("pool_count"), F.sum("new").alias("pool_docs"))
+    words = df.select(ident, tokens.alias("_w")).where(F.size("_w") >= n)
+    places = words.select(ident, "_w", F.explode(F.sequence(F.lit(0), F.size("_w") - n)).alias("_i"))
+    grams = places.select(ident, F.concat_ws(" ", *[F.get("_w", F.col("_i") + k) for k in range(n)]).alias("phrase"))
+    counts = grams.groupBy("phrase", ident).agg(F.count("*").alias("c")).groupBy("phrase").agg(F.sum("c").alias("pool_count"), F.count("*").alias("pool_docs"))
+    return counts if not artifacts else counts.where(~F.arrays_overlap(F.split("phrase", " "), F.array(*[F.lit(a) for a in artifacts])))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with a number from 0 in the order of ``order``, which has to be unique; ranges are numbered in tasks of their own."""
+    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    placed = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1)
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a task
+    starts = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_before") + F.col("_k")).cast("long")).drop("_p", "_k", "_before")

@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tessera.functions import text as T
 from tessera.operators import claims, cohort
 from tessera.operators import relational as R
 from tessera.operators import stats as S
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
+from tessera.plans.registry import QUERIES, SQL, query, table
 
 _TOK = r"regexp_extract_all(lower(coalesce({}, '')), '[a-z][a-z\-'']+')"
 _GRAMS = "list_transform(generate_series(1, len({0}) - {1}), lambda i: array_to_string({0}[i : i + {1}], ' '))"
@@ -136,19 +118,6 @@ def asof_before_after(spark, sf):
     return R.around(pivots, e, "user_id", "at", "ts", "event_id")
 
 
-@query("""WITH s AS (SELECT a.p_partkey AS q, b.p_partkey AS c, (a.p_type = b.p_type)::INT + (a.p_size = b.p_size)::INT * 0.5 AS score
-FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey % 20 = 0)
-SELECT q, c, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(c AS VARCHAR), c) AS rank FROM s) WHERE rank <= 3""")
-def structural_topk(spark, sf):
-    """Three candidates of the same brand by structural score, ties by the id as a text."""
-    p = table(spark, sf, "part")
-    a = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("q"), "p_brand", F.col("p_type").alias("t"), F.col("p_size").alias("s"))
-    both = a.join(p, "p_brand").where("q <> p_partkey")
-    score = (F.col("t") == F.col("p_type")).cast("int") + (F.col("s") == F.col("p_size")).cast("int") * 0.5
-    scored = both.select("q", F.col("p_partkey").alias("c"), score.cast("double").alias("score"))
-    return R.top_k(scored, ["q"], [F.desc("score"), F.col("c").cast("string"), F.col("c")], 3)
-
-
 @query("""WITH b AS (SELECT o_custkey, o_orderkey, sha256(concat(o_custkey, '::F::', o_orderkey)) AS h FROM orders)
 SELECT o_custkey, o_orderkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY h, o_orderkey) AS rank FROM b) WHERE rank <= 3""")
 def hash_random_k(spark, sf):
@@ -268,44 +237,6 @@ def channel_spearman(spark, sf):
     return S.spearman(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", "o_custkey").withColumn("rho", F.round("rho", 6))
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '\[\[[^\]]+\]\]')) AS markup_bracket, len(regexp_extract_all(coalesce(html, ''), '__[^_]+__')) AS markup_underline,
-len(regexp_extract_all(lower(coalesce(html, '')), '<li>')) AS items, len(regexp_extract_all(coalesce(html, ''), '(?m)^\s*\d+\s*\.\s')) AS numbered FROM pages""")
-def markup_counters(spark, sf):
-    html = F.coalesce(F.col("html"), F.lit(""))
-    n = lambda t, p: F.regexp_count(t, F.lit(p)).cast("long")
-    return table(spark, sf, "pages").select("page_id", n(html, r"\[\[[^\]]+\]\]").alias("markup_bracket"), n(html, "__[^_]+__").alias("markup_underline"), n(F.lower(html), "<li>").alias("items"), n(html, r"(?md)^\s*\d+\s*\.\s").alias("numbered"))
-
-
-@query(r"""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
-SELECT doc_id, len(l) AS n_lines, len(list_filter(l, lambda x: trim(x) = '')) AS n_blank, len(list_filter(l, lambda x: regexp_matches(x, '^\s*\d+[.)]'))) AS n_numbered,
-len(l) - len(list_distinct(l)) AS n_repeated, CAST(list_max(list_transform(l, lambda x: length(x))) AS BIGINT) AS longest FROM l""")
-def line_shape(spark, sf):
-    l = F.split(F.coalesce("text", F.lit("")), "\n")  # noqa: E741
-    size = lambda c: F.size(c).cast("long")
-    return table(spark, sf, "documents").select("doc_id", l.alias("l")).select("doc_id", size("l").alias("n_lines"), size(F.filter("l", lambda x: F.trim(x) == "")).alias("n_blank"), size(F.filter("l", lambda x: x.rlike(r"^\s*\d+[.)]"))).alias("n_numbered"), (size("l") - size(F.array_distinct("l"))).alias("n_repeated"), F.array_max(F.transform("l", lambda x: F.length(x))).cast("long").alias("longest"))
-
-
-@query(f"""WITH t AS (SELECT doc_id, w, {_grams("w", 5)} AS g FROM (SELECT doc_id, {_TOK.format("text")} AS w FROM documents))
-SELECT doc_id, len(w) AS n_words, round(len(list_distinct(w)) / nullif(len(w), 0), 6) AS unique_words, round(len(list_distinct(g)) / nullif(len(g), 0), 6) AS gram_diversity FROM t""")
-def repetition(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", T.word_tokens(F.col("text")).alias("w")).withColumn("g", T.ngrams(F.col("w"), 5))
-    share = lambda c: F.round(F.try_divide(F.size(F.array_distinct(c)), F.size(c)), 6)
-    return t.select("doc_id", F.size("w").cast("long").alias("n_words"), share("w").alias("unique_words"), share("g").alias("gram_diversity"))
-
-
-@query("""WITH n AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-s AS (SELECT a.vec_id AS q, b.vec_id AS c, b.label, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS cosine FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY q, label ORDER BY cosine DESC, c) AS k FROM s)
-SELECT q, c, label, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, c) AS rank FROM o WHERE k = 1) WHERE rank <= 3""")
-def dense_topk_dedup(spark, sf):
-    """Cosine top 3 with each label once, for the queries whose id is divisible by 20."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("v")).withColumn("n", dot("v", "v"))
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    scored = e.join(q, F.col("q") != F.col("vec_id")).select("q", F.col("vec_id").alias("c"), "label", F.round(dot("qv", "v") / F.sqrt(F.col("qn") * F.col("n")), 6).alias("cosine"))
-    return R.top_k_distinct(scored, ["q"], "label", [F.desc("cosine"), F.col("c")], 3)
-
-
 @query()
 def parse_claims(spark, sf):
     """The claims in every whole text of documents."""
@@ -316,3 +247,6 @@ def parse_claims(spark, sf):
 def greedy_cohort(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.when(F.col("n_chars") > 1500, "long").otherwise("short").alias("size"))
     return cohort.greedy_cohort(docs, "doc_id", {"lang": {"en": 40, "fr": 30, "de": 20, "es": 10}, "size": {"long": 50, "short": 50}}, 100)
+
+
+from tessera.plans import parsing, probes, reports, structure  # noqa: E402, F401  they register theirs
