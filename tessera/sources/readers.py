@@ -92,3 +92,49 @@ def template(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     """A text template, read through Spark, and the names of the fields that it asks for."""
     text = spark.read.option("wholetext", True).text(path).first()[0]
     return text, re.findall(r"{(\w+)}", text)
+
+
+def case_texts(spark: SparkSession, root: str) -> DataFrame:
+    """case, text, n_chars: the files below each folder of ``root`` in one text, in the order of their paths."""
+    files = whole_texts(spark, root).withColumn("rest", F.expr(f"substring(path, instr(path, '{root.rstrip('/').removeprefix('file://')}') + {len(root.rstrip('/').removeprefix('file://')) + 1})"))
+    rows = F.array_sort(F.collect_list(F.struct("path", "text")))
+    return files.withColumn("case", F.split("rest", "/").getItem(0)).groupBy("case").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("text")).withColumn("n_chars", F.length("text"))
+
+
+def preferred(files: DataFrame, case: Column, suffixes: list[str]) -> DataFrame:
+    """Per case the file (path) whose name ends with the first of the suffixes that any has, else its first file."""
+    rank = F.lit(len(suffixes))
+    for k, s in reversed(list(enumerate(suffixes))):
+        rank = F.when(F.col("path").endswith(s), k).otherwise(rank)
+    return files.withColumn("case", case).groupBy("case").agg(F.min_by("path", F.struct(rank, "path")).alias("path"))
+
+
+def largest_json(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Per folder below ``root`` the document of its largest JSON file, and how many there are; ties to the first path."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    named = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_size"))
+    folder = F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)
+    fields = F.struct(*rows.columns)
+    return named.groupBy(folder.alias("folder")).agg(F.max_by(fields, F.struct("_size", F.col("_path"))).alias("d"), F.count_distinct("_path").alias("n_files")).select("folder", "n_files", "d.*")
+
+
+def claim_text(value: Column, most: int = 4000) -> Column:
+    """A claim's text written as JSON in one of its forms, a text, or an object with claim_text or text; cut at ``most``."""
+    inner = F.coalesce(F.get_json_object(value, "$.claim_text.text"), F.get_json_object(value, "$.claim_text"), F.get_json_object(value, "$.text"))
+    return F.substring(F.coalesce(inner, F.when(value.startswith('"'), F.from_json(F.concat(F.lit('{"v":'), value, F.lit("}")), "v string")["v"]), F.when(~value.startswith("{"), value)), 1, most)
+
+
+def subconditions(spark: SparkSession, roots: str | list[str]) -> DataFrame:
+    """case, rep, sub of the responses to condition C that say which of its forms they are."""
+    rows = spark.read.schema("case_id string, rep int, probe_meta struct<subcondition: string>").option("multiLine", True).option("pathGlobFilter", "*__C__*.json").option("recursiveFileLookup", True).json(roots)
+    return rows.select(F.col("case_id").alias("case"), F.coalesce("rep", F.lit(0)).alias("rep"), F.col("probe_meta.subcondition").alias("sub")).where("sub <> ''")
+
+
+def finite_scores(spark: SparkSession, path: str, value: str, models: list[str]) -> DataFrame:
+    """case, cond, model, rep, value of a TSV whose file column names the model; other models and values that are no finite number are left out."""
+    rows = spark.read.option("sep", "\t").option("header", True).csv(path)
+    parts = F.split("file", "__")
+    model = F.when(F.size(parts) >= 4, F.get(parts, F.size(parts) - 2)).otherwise("")
+    number = F.col(value).try_cast("double")
+    named = rows.select("case", "cond", model.alias("model"), F.col("rep").try_cast("int").alias("rep"), number.alias("value"))
+    return named.where(F.col("model").isin(models) & F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
