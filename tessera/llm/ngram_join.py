@@ -38,7 +38,7 @@ LARGE = 32
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words whose hashes a worker remembers.
-_WORDS = 150_000
+_WORDS = 400_000
 
 
 def _word_hashes() -> dict[bytes, int]:
