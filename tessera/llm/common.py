@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +72,28 @@ def returned() -> None:
         pass
 
 
+def only(name: str) -> None:
+    """From here on a worker serves this operator: what others have left in it goes."""
+    kept(name, lambda: None)
+
+
+def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's texts, and where in them each begins and the last ends; nothing is copied, and a null is empty."""
+    _, at, data = column.buffers()
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
+    at = np.frombuffer(at, np.int64 if wide else np.int32) if at is not None else np.zeros(1, np.int64)
+    return np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8), at[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def rows_by_bytes(at: np.ndarray, block: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of about ``block`` bytes together, one at least: first row and row behind."""
+    first = 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + block, "right")) - 1)
+        yield first, last
+        first = last
+
+
 def sliced(batch: pa.RecordBatch, text: int, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """All of a batch in slices whose texts (column ``text``) have about ``most_bytes`` bytes, one text at least."""
     column, at, n = batch.column(text), 0, len(batch)

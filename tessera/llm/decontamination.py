@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import only, sliced, stored
 
 WINDOW = 10
 #: Words of benchmark items that are sent to the workers at once; a larger benchmark is scanned for in blocks of items.
@@ -199,8 +199,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) ->
         shared = spark.sparkContext.broadcast(Index.of(part, n))
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            only("decontamination")
             index = shared.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in sliced(whole, at)):
                 yield batch.filter(pa.array([index.scan(words_of(t.as_py()))[0] is None for t in batch.column(at)], pa.bool_()))
 
         out = out.mapInArrow(clean, kind)

@@ -24,7 +24,7 @@ _STORE = "spark.sql.streaming.stateStore"
 STATE_STORE = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
-    f"{_STORE}.rocksdb.maxMemoryUsageMB": "200",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "64",
     f"{_STORE}.rocksdb.allowFAllocate": "false",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
 }

@@ -21,6 +21,7 @@ their shingles, and those pairs must survive the intersection of the orders.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import joined, kept, release, sliced, stored
+from tessera.llm.common import joined, only, release, rows_by_bytes, stored, texts_of
 
 SIZE, PERCENT = 5, 75
 #: Shingles are ordered last if they are in OFTEN documents of a scan batch and in IN_ALL that way; so many are kept at most.
 OFTEN, IN_ALL, COMMON = 3, 12, 1_000_000
 #: Groups of more classes are large: their pairs are looked for by a few shingles of a class, not by all.
 LARGE = 32
-_TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+#: Bytes of text that are shingled at once (a longer text alone).
+BLOCK = 1 << 18
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-#: Words whose hashes a worker remembers.
-_WORDS = 400_000
-
-
-def _word_hashes() -> dict[bytes, int]:
-    return kept("hashes of words", dict)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,24 +51,73 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LETTERS = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+
+
+@lru_cache(maxsize=2)
+def _block_powers(base: int) -> np.ndarray:
+    return _powers(base, 2 * BLOCK)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def shingle_sets(data: np.ndarray, at: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit shingles of texts that lie one behind the other in ``data``, from ``at`` on: row and shingle, sorted.
+
+    A-Z are lowered and words stand between ASCII white space.  A word's hash is
+    a polynomial of its bytes, taken from running sums, so a whole block of
+    texts is hashed in a few passes.
+    """
+    data, at = _LOWER[data[at[0] : at[-1]]], at - at[0]
+    n = len(at) - 1
+    letter = ~_SPACE[data]
+    border = np.zeros(len(data) + 1, dtype=bool)
+    border[at] = True
+    begin, stop = letter.copy(), letter.copy()
+    if len(data):
+        begin[1:] &= ~letter[:-1] | border[1:-1]
+        stop[:-1] &= ~letter[1:] | border[1:-1]
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    up, down = (_block_powers(int(b)) if len(data) <= 2 * BLOCK else _powers(int(b), len(data)) for b in (_BASE, _INVERSE))
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_LETTERS[data] * up[: len(data)])))
+    words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)) if len(starts) else np.zeros(0, dtype=np.uint64)
+    row = np.searchsorted(at[1:], starts, "right")
+    count = np.bincount(row, minlength=n)
+    first = np.cumsum(count) - count
+    rows, values = [], []
+    for k in range(1, size + 1):  # texts of fewer words are one shingle
+        if k < size:
+            places = first[count == k]
+        else:
+            places = np.flatnonzero(np.arange(len(row)) - first[row] <= count[row] - size)
+        value = np.full(len(places), k, dtype=np.uint64)
+        for j in range(k):
+            value = value * _BASE + words[places + j]
+        rows.append(row[places])
+        values.append(mixed(value))
+    row, value = np.concatenate(rows), np.concatenate(values)
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[new], value[new]
+
+
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
-    """The sorted distinct 64-bit shingles of a text; A-Z lowered, words between ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()  # what is white space to bytes is so here
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    known = _word_hashes()
-    if len(known) > _WORDS:
-        known.clear()
-    if new := set(words).difference(known):
-        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    k = min(size, len(h))
-    out = np.full(len(h) - k + 1, k, dtype=np.uint64)
-    for j in range(k):
-        out = out * _BASE + h[j : j + len(out)]
-    out = mixed(out)
-    out.sort()
-    return out[np.concatenate(([True], out[1:] != out[:-1]))]
+    """The sorted distinct shingles of one text."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return shingle_sets(data, np.array([0, len(data)]), size)[1]
+
+
+def _blocks(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of a column's texts in blocks: first row, row behind, and row within the block and shingle, sorted."""
+    data, at = texts_of(column)
+    for first, last in rows_by_bytes(at, BLOCK):
+        yield first, last, *shingle_sets(data, at[first : last + 1], size)
 
 
 def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -91,12 +139,19 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("n-gram join")
+        borders = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
         for batch in batches:
-            found = [np.unique(np.concatenate([shingles(t.as_py(), size) for t in part.column(0)]), return_counts=True) for part in sliced(batch, 0)]
-            if found:
-                values, back = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
-                n = np.bincount(back, np.concatenate([k for _, k in found])).astype(np.int64)
-                often = n >= OFTEN
+            found = [(values, n, [0, *np.searchsorted(values, borders), len(values)]) for _, _, _, s in _blocks(batch.column(0), size) for values, n in [np.unique(s, return_counts=True)]]
+            for k in range(16 if found else 0):  # a sixteenth of all shingles at a time
+                values = np.concatenate([v[e[k] : e[k + 1]] for v, _, e in found])
+                order = np.argsort(values, kind="stable")
+                values, n = values[order], np.concatenate([m[e[k] : e[k + 1]] for _, m, e in found])[order]
+                if not len(values):
+                    continue
+                at = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+                n = np.add.reduceat(n, at)
+                values, often = values[at], n >= OFTEN
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
     found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -109,20 +164,20 @@ def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int, orde
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("n-gram join")
         common = shared.value
-        for batch in (part for whole in batches for part in sliced(whole, 1)):
-            n, prints, prefixes = [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), size)
-                k = prefix_length(len(s), percent)
-                n.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
+        for batch in batches:
+            for first, last, row, s in _blocks(batch.column(1), size):
+                n = np.bincount(row, minlength=last - first)
+                begin = np.cumsum(n) - n
+                prints = [xxhash.xxh3_128_digest(s[a : a + k].tobytes()) for a, k in zip(begin.tolist(), n.tolist(), strict=True)]
                 late = among(s, common)
-                early, last = s[~late], s[late]
-                if order == 2:  # the first order is that of the numbers themselves
-                    early, last = early[np.argsort(mixed(early ^ _M2))], last[np.argsort(mixed(last ^ _M2))]
-                prefixes.append(np.concatenate([early[:k], last[: max(0, k - len(early))]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "print", "p"])
+                # The first order is that of the numbers themselves.
+                ordered = np.lexsort((s if order == 1 else mixed(s ^ _M2), late, row))
+                k = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+                p = s[ordered][np.arange(len(s)) - np.repeat(begin, n) < np.repeat(k, n)]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), pa.array(p.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "n", "print", "p"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, p array<long>")
 
@@ -220,8 +275,11 @@ def _similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     nodes = stored(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id"), "nodes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in sliced(whole, 1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], ["doc_id", "s"])
+        only("n-gram join")
+        for batch in batches:
+            for first, last, row, s in _blocks(batch.column(1), size):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=last - first)))), pa.int32()), pa.array(s.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], ["doc_id", "s"])
 
     full = stored(joined(docs.select("doc_id", "text"), nodes, "doc_id", "left_semi", row_bytes=48).mapInArrow(sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "sets")
     a, b = full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))

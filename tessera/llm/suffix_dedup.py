@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chosen, joined, release, sliced, stored
+from tessera.llm.common import chosen, joined, only, release, rows_by_bytes, sliced, stored, texts_of
 
 LENGTH, NAME = 50, 24
 #: Rows that a task gathers before it thins and sends them; bytes of text that are named at once (longer texts in slices).
@@ -114,25 +114,15 @@ def runs_of(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, name: in
     return segment, chosen[first], _mixed(stretch), first, last
 
 
-def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column's texts, and where in them each begins and the last ends; nothing is copied."""
-    _, at, data = column.buffers()
-    at = np.frombuffer(at, np.int64 if pa.types.is_large_binary(column.type) else np.int32)
-    return np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8), at[column.offset : column.offset + len(column) + 1].astype(np.int64)
-
-
 def blocks_of(at: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """Neighbouring texts of ``block`` bytes together, or slices of a longer one that share no window: bytes from and to, the segments' places in them and rows, and the slice's place in its text."""
-    first = 0
-    while first < len(at) - 1:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + block, "right")) - 1)
+    for first, last in rows_by_bytes(at, block):
         low, high = int(at[first]), int(at[last])
         if high - low > block:  # of one text
             for base in range(0, high - low - length + 1, block):
                 yield low + base, min(high, low + base + block + length - 1), np.zeros(1, np.int64), np.array([first]), base
         else:
             yield low, high, at[first:last] - low, np.arange(first, last), 0
-        first = last
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
@@ -216,6 +206,7 @@ def _send(cols: list[np.ndarray], parts: int, at: np.ndarray, data: bytes, lengt
 
 def _gather(batches: Iterator[pa.RecordBatch], rows_of, parts: int, length: int) -> Iterator[pa.RecordBatch]:
     """Rows of the blocks of texts, sent when there are ROWS of them; ``rows_of`` gives segment, two names, first and last window in the block."""
+    only("suffix dedup")
     rows: list[tuple[np.ndarray, ...]] = []
     held: list[bytes] = []
     n = size = 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hash_sample, id_hash, sliced
+from tessera.llm.common import chosen, hash_sample, id_hash, only, sliced
 
 #: Signs read as letters, and letters of other scripts that look like Latin ones.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
@@ -124,6 +124,7 @@ def fit(labelled: DataFrame, lexicon: int = LEXICON, exceptions: int = EXCEPTION
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         for batch in batches:
             seen: tuple[Counter, Counter] = Counter(), Counter()
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
@@ -208,6 +209,7 @@ def score(docs: DataFrame, model: Model, extra: dict[str, Column] | None = None,
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head.schema.fields[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         model = shared.value
         found = automaton(model)
         for batch in (part for whole in batches for part in sliced(whole, 1)):
@@ -231,6 +233,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     at = docs.columns.index("text")  # by place: another column may differ from it in case alone
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         model = shared.value
         found = automaton(model)
         for batch in (part for whole in batches for part in sliced(whole, at)):
