@@ -117,7 +117,7 @@ def costed(calls: DataFrame, prices: list[tuple] = PRICES) -> DataFrame:
 
 def usage(calls: DataFrame, groups: list[str]) -> DataFrame:
     """Calls, tokens and cost by the groups and their totals (nulls), with the coverage of an expected number of calls."""
-    return calls.rollup(*groups).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost"), 4).alias("cost"))
+    return calls.rollup(*groups).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost"), 5).alias("cost"))
 
 
 def coverage(calls: DataFrame, key: str, expected: int) -> DataFrame:

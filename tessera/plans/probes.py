@@ -175,7 +175,7 @@ def dense_topk_dedup(spark, sf):
 
 @query(f"""WITH {_CASES}, {_VECTORS}, s AS (SELECT a.vec_id AS q, b.vec_id AS c, b.label, {_COSINE} AS cosine FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY q, label ORDER BY cosine DESC, c) AS k FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, c) AS rank FROM o WHERE k = 1),
-picks AS (SELECT q // 20 AS case_id, c AS pid, rank FROM r WHERE rank <= 3), {_POOL}""")
+picks AS (SELECT q // 20 AS case_id, c AS pid, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM r JOIN part ON p_partkey = c WHERE rank <= 3), {_POOL}""")
 def probe_h(spark, sf):
     """Exemplars by embedding; vectors stand for cases and for the pool's rows."""
     prompts, pool = P.base(_cases(spark, sf)), _pool(spark, sf)

@@ -110,7 +110,7 @@ def _calls(spark, sf):
     return table(spark, sf, "events").select((1 + 2 * (F.col("user_id") % 3)).alias("k"), model.alias("model"), (F.col("event_id") % 1000 * 8).alias("input_tokens"), (F.col("event_id") % 300 * 50).alias("output_tokens"))
 
 
-@query(f"WITH {_CALLS} SELECT k, model, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(cost), 4) AS cost FROM c GROUP BY ROLLUP (k, model)")
+@query(f"WITH {_CALLS} SELECT k, model, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(cost), 5) AS cost FROM c GROUP BY ROLLUP (k, model)")
 def usage_rollup(spark, sf):
     """Calls, tokens and cost by setting and model, with totals."""
     return P.usage(P.costed(_calls(spark, sf)), ["k", "model"])

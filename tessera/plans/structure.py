@@ -136,7 +136,7 @@ def _opinions(spark, sf):
 @query(rf"""WITH o AS (SELECT conv_id, turn, {_OPINION} AS t FROM conversations), p(pattern) AS (VALUES {", ".join(f"('{k}')" for k in shape.QUOTES)}),
 q AS (SELECT conv_id, turn, pattern, unnest(CASE pattern WHEN 'long_dq' THEN regexp_extract_all(t, '"[^"]{{60,1000}}[^"]{{0,200}}"') WHEN 'claim_recites' THEN regexp_extract_all(t, '{shape.QUOTES["claim_recites"]}') ELSE regexp_extract_all(t, '{shape.QUOTES["as_claimed"]}') END) AS m, t FROM o, p)
 SELECT conv_id, turn, pattern, instr(t, m) - 1 AS first, instr(t, m) - 1 + length(m) AS behind, substr(m, 1, 800) AS quote FROM q""")
-def opinion_quotes(spark, sf):
+def quotes_in_opinions(spark, sf):
     """Quotations of claims with their places, in opinions made of turns."""
     key = F.struct("conv_id", "turn")
     return Q.quotes(_opinions(spark, sf).select(F.to_json(key).alias("key"), "text"), "key").select(F.from_json("key", "conv_id long, turn long").alias("k"), "*").select("k.*", "pattern", "first", "behind", "quote")
