@@ -12,8 +12,7 @@ HEADLINE = [
     "phrase_mining_top50", "template_rate_by_role", "trigram_jaccard_doc_benchmark", "content_token_overlap", "turn_edit_ratio", "turn_diff_full_outer",
     "asof_before_after", "structural_topk", "hash_random_k", "pool_minus_cohort", "resume_anti_join", "crosstab_cube", "target_vs_achieved", "dup_keys",
     "bucket_hist", "pct_of_total", "index_medians", "rep_mean_then_median", "paired_delta_direction", "wilcoxon_signed_rank_w", "wilcoxon_holm",
-    "bootstrap_tost", "holm_family", "channel_spearman", "markup_counters", "line_shape", "repetition", "dense_topk_dedup", "greedy_cohort", "xml_claims",
-    "claim_overlap", "main_aggregate", "scorecard", "exclusion_reasons", "probe_g", "decoy_argmax",
+    "bootstrap_tost", "holm_family", "channel_spearman", "markup_counters", "line_shape", "repetition", "dense_topk_dedup", "greedy_cohort",
 ]
 
 
