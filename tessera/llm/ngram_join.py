@@ -14,8 +14,8 @@ sizes there: an edited copy's own shingles come first in its prefix, so copies
 too far from all others go before they meet them.  Then every class is
 held against two classes of its groups, the first and the most central, which
 joins large groups of near copies by few pairs.  Only classes of one group that are in
-different components after that are paired, in large groups by the rarest of
-their shingles, and those pairs must survive the intersection of the orders.
+different components after that are paired, by the rarest of their shingles,
+and those pairs must survive the intersection of the orders.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ from tessera.llm.common import joined, only, release, rows_by_bytes, stored, tex
 SIZE, PERCENT = 5, 75
 #: Shingles are ordered last if they are in OFTEN documents of a scan batch and in IN_ALL that way; so many are kept at most.
 OFTEN, IN_ALL, COMMON = 3, 12, 1_000_000
-#: Groups of more classes are large: their pairs are looked for by a few shingles of a class, not by all.
-LARGE = 32
 #: Bytes of text that are shingled at once (a longer text alone).
 BLOCK = 1 << 18
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -206,29 +204,19 @@ def _sharing(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 def _across(rows: DataFrame, percent: int) -> DataFrame:
     """a, b, na, nb: pairs of a group of ``rows`` (token, x, n, c) in different components that may share enough.
 
-    Pairs that share a shingle of a group that is not large are counted there,
-    and the large groups of either class may add to that.  Others share large
-    groups alone; if a class has k of them and t must be shared, one of its
-    k - t + 1 smallest is.  Both cases together miss no pair.
+    The rows of a class are ordered by the sizes of their groups, small first,
+    which is one more global order.  If a pair must share t of its rows, the
+    first that it shares has t - 1 behind it in either class; so of k rows only
+    the first k - t + 1 are looked at, on both sides, and no pair is missed.
     """
-    sizes = rows.groupBy("token").agg(F.count("*").alias("g"))
-    by_size = Window.partitionBy("x", F.col("g") > LARGE).orderBy("g", "token")
-    of_x = Window.partitionBy("x")
-    ranked = rows.join(sizes, "token").withColumn("rank", F.row_number().over(by_size)).withColumn("big", F.sum((F.col("g") > LARGE).cast("long")).over(of_x))
-    ranked = stored(ranked.select("token", "x", "n", "c", "g", "rank", "big"), "ranked")
-
-    def pairs(side: DataFrame, fit) -> DataFrame:
-        u, v = (side.select("token", *[F.col(c).alias(c + k) for c in ("x", "n", "c", "rank", "big")]) for k in "ab")
-        apart = (F.col("xa") < F.col("xb")) & (F.col("ca") != F.col("cb")) & _near("na", "nb", percent)
-        return u.join(v, "token").where(apart & fit).withColumnsRenamed({"xa": "a", "xb": "b"})
-
-    may_add, must = F.least("biga", "bigb"), _must_share("na", "nb", percent)
-    found = pairs(ranked.where(F.col("g") <= LARGE), F.lit(True))
-    found = found.groupBy("a", "b").agg(F.count("*").alias("met"), *[F.first(c).alias(c) for c in ("na", "nb", "biga", "bigb")])
-    found = found.where(F.col("met") + may_add >= must).select("a", "b", "na", "nb")
-    rank = F.when(F.col("biga") <= F.col("bigb"), F.col("ranka")).otherwise(F.col("rankb"))
-    alone = pairs(ranked.where(F.col("g") > LARGE), (may_add >= must) & (rank <= may_add - must + 1))
-    return found.union(alone.select("a", "b", "na", "nb")).distinct()
+    sizes = rows.groupBy("token").agg(F.count("*").alias("g"), F.min("n").alias("least"), F.max("n").alias("most"))
+    of_x = Window.partitionBy("x")  # at most a prefix
+    ranked = rows.join(sizes, "token").withColumn("rest", F.count("*").over(of_x) - F.row_number().over(of_x.orderBy("g", "token")) + 1)
+    ranked = stored(ranked.where(_enough_for_any("rest", percent)).select("token", "x", "n", "c", "rest"), "ranked")
+    u, v = (ranked.select("token", *[F.col(c).alias(c + k) for c in ("x", "n", "c", "rest")]) for k in "ab")
+    apart = (F.col("xa") < F.col("xb")) & (F.col("ca") != F.col("cb")) & _near("na", "nb", percent)
+    enough = F.least("resta", "restb") >= _must_share("na", "nb", percent)
+    return u.join(v, "token").where(apart & enough).select(F.col("xa").alias("a"), F.col("xb").alias("b"), "na", "nb").distinct()
 
 
 def _able(rows: DataFrame, percent: int) -> DataFrame:
@@ -241,13 +229,18 @@ def _able(rows: DataFrame, percent: int) -> DataFrame:
     """
     groups = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most")).where("lo < hi").drop("lo", "hi")
     met = rows.join(groups, "token").withColumn("held", F.count("*").over(Window.partitionBy("x")))  # at most a prefix
+    return met.where(_enough_for_any("held", percent)).select("token", "x", "n", "c", "held")
+
+
+def _enough_for_any(have: str, percent: int):
+    """Whether ``have`` shared shingles are enough for a set of n with some set from least to most."""
 
     def bound(y):
-        return 100 * (100 + percent) * F.col("held") + (100 + percent) * percent * F.greatest(F.col("n"), y) >= 100 * percent * (F.col("n") + y)
+        return 100 * (100 + percent) * F.col(have) + (100 + percent) * percent * F.greatest(F.col("n"), y) >= 100 * percent * (F.col("n") + y)
 
     small = F.greatest(F.col("least"), F.floor(F.col("n") * percent / 100))
     large = F.least(F.col("most"), F.ceil(F.col("n") * 100 / percent))
-    return met.where(bound(small) | bound(large)).select("token", "x", "n", "c", "held")
+    return bound(small) | bound(large)
 
 
 def components(edges: DataFrame) -> DataFrame:
