@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 48 << 20
 #: Python workers take a batch of texts in slices of at most so many bytes and rows.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 4_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _own_folders: dict[str, str] = {}
 _kept: dict[str, object] = {}
@@ -116,10 +117,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends there.
 
     A lost executor costs the tasks it ran, not the stages before the table.
+    While it is written, batches for Python workers are bounded in bytes: texts
+    and lists differ so much in size that a bound in rows alone bounds nothing.
     """
     spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = new_path(spark, tag), spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(SLICE_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
