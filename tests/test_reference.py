@@ -90,7 +90,7 @@ def test_edit_ratio_of_whole_turns(spark, tmp_path):
             for j, d in enumerate(p, 1):
                 row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (c != d)))
         want[i] = (row[-1], round(1 - row[-1] / max(len(p), len(x)), 4) if p and x else 0.0)
-    got = {r.turn: (r.distance, r.similarity) for r in QUERIES["turn_edit_ratio_whole"](spark, str(tmp_path)).collect()}
+    got = {r.turn: (r.distance, r.similarity) for r in QUERIES["turn_edit_ratio"](spark, str(tmp_path)).collect()}
     assert got == want and want[1] == (2, 0.5)
 
 
