@@ -15,7 +15,10 @@ too far from all others go before they meet them.  Then every class is
 held against two classes of its groups, the first and the most central, which
 joins large groups of near copies by few pairs.  Only classes of one group that are in
 different components after that are paired, by the rarest of their shingles,
-and those pairs must survive the intersection of the orders.
+and those pairs must survive the intersection of the orders.  As they are
+paired, each set brings a signature, the parity of its shingles in BITS places.
+Two signatures differ in no more places than the sets have shingles that are
+not shared, so a pair with too many of those goes where it is made.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from tessera.llm.common import joined, only, release, rows_by_bytes, stored, tex
 SIZE, PERCENT = 5, 75
 #: Shingles are ordered last if they are in OFTEN documents of a scan batch and in IN_ALL that way; so many are kept at most.
 OFTEN, IN_ALL, COMMON = 3, 12, 1_000_000
+#: Places of a signature: longs of 64 bits.
+BITS = 8 * 64
 #: Bytes of text that are shingled at once (a longer text alone).
 BLOCK = 1 << 18
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -125,6 +130,18 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
+def signatures(shingle: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of sets of ``n`` shingles that lie one behind the other, the parity of the shingles in each place, as a row of longs; an empty set has zeros."""
+    out = np.zeros((len(n), BITS // 64), dtype=np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        begin = (np.cumsum(n) - n)[some]
+        bit, word = np.uint64(1) << (shingle & np.uint64(63)), (shingle >> np.uint64(6)) % np.uint64(BITS // 64)
+        for k in range(BITS // 64):
+            out[some, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), begin)
+    return out
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
@@ -158,7 +175,7 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int, order: int) -> DataFrame:
-    """doc_id, n, print (of the set) and p: the prefix under the first or the second order."""
+    """doc_id, n, print and sig (of the set) and p: the prefix under the first or the second order."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,9 +192,10 @@ def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int, orde
                 k = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
                 p = s[ordered][np.arange(len(s)) - np.repeat(begin, n) < np.repeat(k, n)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), pa.array(p.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), lists], ["doc_id", "n", "print", "p"])
+                places = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BITS // 64 + 1, BITS // 64), pa.int32()), pa.array(signatures(s, n).ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), places, lists], ["doc_id", "n", "print", "sig", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, p array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, sig array<long>, p array<long>")
 
 
 def _may_be_similar(met, x: str, y: str, percent: int):
@@ -194,6 +212,13 @@ def _must_share(x: str, y: str, percent: int):
     return F.ceil((F.col(x) + F.col(y)) * percent / (100 + percent)) - F.greatest(left(x), left(y))
 
 
+def _few_apart(x: str, y: str, sx: str, sy: str, percent: int):
+    """Whether sets of x and y shingles may be similar enough by their signatures: those that differ in so many places differ in as many shingles."""
+    apart = sum((F.bit_count(F.col(sx)[k].bitwiseXOR(F.col(sy)[k])) for k in range(BITS // 64)), F.lit(0))
+    both = F.col(x) + F.col(y)
+    return apart <= both - 2 * F.ceil(both * percent / (100 + percent))
+
+
 def _sharing(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b, na, nb) those whose ``parts`` (x, p) share enough."""
     a, b = (parts.select(F.col("x").alias(k), F.col("p").alias("p" + k)) for k in "ab")
@@ -201,8 +226,8 @@ def _sharing(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return both.where(_may_be_similar(F.size(F.array_intersect("pa", "pb")), "na", "nb", percent)).select("a", "b", "na", "nb")
 
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b, na, nb: pairs of a group of ``rows`` (token, x, n, c) in different components that may share enough.
+def _across(rows: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb: pairs of a group of ``rows`` (token, x, n, c) in different components that may share enough; ``signed`` has the classes' signatures (x, sig).
 
     The rows of a class are ordered by the sizes of their groups, small first,
     which is one more global order.  If a pair must share t of its rows, the
@@ -212,11 +237,11 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
     sizes = rows.groupBy("token").agg(F.count("*").alias("g"), F.min("n").alias("least"), F.max("n").alias("most"))
     of_x = Window.partitionBy("x")  # at most a prefix
     ranked = rows.join(sizes, "token").withColumn("rest", F.count("*").over(of_x) - F.row_number().over(of_x.orderBy("g", "token")) + 1)
-    ranked = stored(ranked.where(_enough_for_any("rest", percent)).select("token", "x", "n", "c", "rest"), "ranked")
-    u, v = (ranked.select("token", *[F.col(c).alias(c + k) for c in ("x", "n", "c", "rest")]) for k in "ab")
+    ranked = stored(ranked.where(_enough_for_any("rest", percent)).select("token", "x", "n", "c", "rest").hint("merge").join(signed, "x"), "ranked")
+    u, v = (ranked.select("token", *[F.col(c).alias(c + k) for c in ("x", "n", "c", "rest", "sig")]) for k in "ab")
     apart = (F.col("xa") < F.col("xb")) & (F.col("ca") != F.col("cb")) & _near("na", "nb", percent)
     enough = F.least("resta", "restb") >= _must_share("na", "nb", percent)
-    return u.join(v, "token").where(apart & enough).select(F.col("xa").alias("a"), F.col("xb").alias("b"), "na", "nb").distinct()
+    return u.join(v, "token").where(apart & enough & _few_apart("na", "nb", "siga", "sigb", percent)).select(F.col("xa").alias("a"), F.col("xb").alias("b"), "na", "nb").distinct()
 
 
 def _able(rows: DataFrame, percent: int) -> DataFrame:
@@ -303,8 +328,9 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     # Classes of equal sets; their smallest document stands for them.
     classes = stored(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("print", "n").agg(F.min("doc_id").alias("cls"), F.count("*").alias("members")), "classes")
     many = stored(classes.where("members > 1").select("print", "cls"), "copies")
-    marked = joined(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "print", "p"), many, "print", "left", row_bytes=80)
+    marked = joined(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "print", "sig", "p"), many, "print", "left", row_bytes=80)
     heads = marked.where("cls IS NULL OR cls = doc_id")
+    signed = heads.select(F.col("doc_id").alias("x"), "sig").dropDuplicates(["x"])
     tokens = heads.select(F.explode("p").alias("token"), F.col("doc_id").alias("x"), "n", F.col("doc_id").alias("c"))
     able = stored(_able(tokens, percent).select("token", "x", "n"), "able")
     groups = able.groupBy("token").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("cnt")).where("lo < hi").drop("hi")
@@ -329,7 +355,7 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     now = members.select("token", "x", "n").join(label, "x", "left").withColumn("c", F.coalesce("c", "x"))
     left = stored(_able(now, percent), "open")  # what a class shares with its own component alone no longer counts for it
     left = _able(left.drop("held"), percent).drop("held")
-    first = stored(_across(left, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    first = stored(_across(left, signed, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
     first = stored(_sharing(first, parts, percent), "pairs")
     if not first.isEmpty():
         some = stored(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct(), "open-nodes")

@@ -145,6 +145,24 @@ def test_ngram_join(spark, seed):
     assert ngram_join.linked(docs(spark, [])).count() == 0
 
 
+def test_signatures_bound_the_difference():
+    """Signatures differ in no more places than the sets have shingles of one side, also of texts without any."""
+    import numpy as np
+
+    texts = [t or "" for t in dice(9, 40)]
+    data = [t.encode() for t in texts]
+    row, s = ngram_join.shingle_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    n = np.bincount(row, minlength=len(texts))
+    sig = ngram_join.signatures(s, n)
+    sets = [set(s[row == i].tolist()) for i in range(len(texts))]
+    for i, x in enumerate(sets):
+        assert sig[i].tolist() == ngram_join.signatures(np.array(sorted(x), dtype=np.uint64), np.array([len(x)]))[0].tolist()
+        for j, y in enumerate(sets):
+            apart = sum(int(a).bit_count() for a in sig[i] ^ sig[j])
+            assert apart <= len(x ^ y) and (len(x ^ y) - apart) % 2 == 0
+    assert not ngram_join.signatures(np.zeros(0, np.uint64), np.zeros(3, np.int64)).any()
+
+
 def test_warc_round_trip(spark):
     pages = [(3, "http://a", "same"), (1, "http://b\r\nx", "same"), (2, None, None), (4, "u", ""), (5, "v", "é\r\n\r\nb")]
     folder = new_path(spark, "warc-test")
