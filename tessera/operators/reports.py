@@ -12,6 +12,8 @@ from tessera.operators import stats as S
 BASELINE = "baseline"
 #: Directions expected of a probe's effect on a channel.
 DIRECTIONS = [("D", "c5", "UP"), ("F", "c5", "UP"), ("G", "c5", "UP"), ("B", "c1", "FLAT"), ("B", "c3", "FLAT"), ("C_decoy", "c1", "DOWN"), ("C_mechtrue", "c1", "UP")]
+#: Fixed value: below it a difference counts as none.
+FLAT = 0.05
 #: The least difference that counts in the scorecard.
 C1_LEAST, C2_SHARE, C3_LEAST, C5_LEAST = 0.005, 0.20, 0.02, 0.20
 #: Dollars a million tokens, in and out.
@@ -75,20 +77,42 @@ def marks_total(card: DataFrame) -> DataFrame:
     return card.agg(*[F.count_if(F.col("mark") == m).alias(n) for m, n in (("Y", "yes"), ("N", "no"), ("-", "none"))])
 
 
+def _ordered_means(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``again``: means by ``keys`` whose sums are taken one value after the other in the order of ``rep``, so they come out the same on any partitions."""
+    order = W.partitionBy(*keys).orderBy("rep", "value")
+    summed = rows.where(F.col("value").isNotNull()).select(*keys, F.sum("value").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_s"), F.row_number().over(order).alias("_k"))
+    return summed.groupBy(*keys).agg((F.max_by("_s", "_k") / F.max("_k")).alias("again"))
+
+
 def direction_rates(scores: DataFrame, subconditions: DataFrame | None = None) -> DataFrame:
     """C4: how often a probe moved a channel as expected, over cases that have the baseline too; by probe and channel, by probe (channel null) and in all (both null).
 
-    ``subconditions`` (case, rep, sub) rename condition C; C rows without one are left out.
+    ``subconditions`` (case, rep, sub) rename condition C; C rows without one are left out.  Cases without a value on a side count in n alone.
+    A sum of doubles depends on its order, and by its last bits a difference may fall on either side of a limit: means of pairs
+    that lie so near to theirs are taken again in the order of ``rep``.
     """
     rows = scores
     if subconditions is not None:
         told = scores.where(F.col("cond") == "C").join(subconditions, ["case", "rep"]).drop("cond").withColumnRenamed("sub", "cond")
         rows = scores.where(F.col("cond") != "C").unionByName(told.select(scores.columns))
-    expected = scores.sparkSession.createDataFrame(DIRECTIONS, "cond string, metric string, direction string")
-    m = case_means(rows)
-    base = m.where(F.col("cond") == BASELINE).select("metric", "model", "case", F.col("value").alias("base"))
-    paired = m.join(F.broadcast(expected), ["cond", "metric"]).join(base, ["metric", "model", "case"])
-    hits = paired.withColumn("hit", direction_hit(F.col("value") - F.col("base"), F.col("direction")))
+    expected = F.broadcast(scores.sparkSession.createDataFrame(DIRECTIONS, "cond string, metric string, direction string"))
+    asked = F.col("metric").isin(*sorted({m for _, m, _ in DIRECTIONS})) & F.col("cond").isin(BASELINE, *sorted({c for c, _, _ in DIRECTIONS}))
+    rows = rows.where(asked).withColumn("value", F.col("value").cast("double"))
+    of_case, value, total = ["metric", "model", "case"], F.col("value"), F.sum(F.abs("value"))
+    # whole numbers below 2 ** 53 add up exactly; else a mean is off by no more than the total of its values times 2 ** -53
+    noise = F.when(F.bool_and(value == F.rint("value")) & (total < 2.0**53), 0.0).otherwise(total * 2.0**-50)
+    m = rows.groupBy(*of_case, "cond").agg(F.avg("value").alias("value"), noise.alias("noise"))
+    base = m.where(F.col("cond") == BASELINE).select(*of_case, F.col("value").alias("base"), F.col("noise").alias("base_noise"))
+    delta, noise = F.col("value") - F.col("base"), F.col("noise") + F.col("base_noise")
+    apart = F.when(F.col("direction") == "FLAT", F.abs(F.abs(delta) - FLAT)).otherwise(F.abs(delta))
+    paired = m.join(expected, ["cond", "metric"]).join(base, of_case).select(*of_case, "cond", "direction", delta.alias("delta"), ((noise > 0) & (apart <= noise)).alias("near"))
+    sides = paired.where("near").select(*of_case, F.col("cond").alias("probe"), F.explode(F.array("cond", F.lit(BASELINE))).alias("cond"))
+    again = _ordered_means(rows.join(sides, [*of_case, "cond"]), [*of_case, "probe", "cond"])
+    is_base = F.col("cond") == BASELINE
+    anew = (F.max(F.when(~is_base, F.col("again"))) - F.max(F.when(is_base, F.col("again")))).alias("anew")
+    settled = paired.join(again.groupBy(*of_case, F.col("probe").alias("cond")).agg(anew), [*of_case, "cond"], "left")
+    delta = F.when(F.col("near"), F.col("anew")).otherwise(F.col("delta"))
+    hits = settled.withColumn("hit", F.when(delta.isNotNull(), direction_hit(delta, F.col("direction"), FLAT)))
     return hits.rollup("cond", "metric").agg(F.count("*").alias("n"), F.sum("hit").cast("long").alias("hits"), F.round(F.avg("hit"), 6).alias("hit_rate"))
 
 

@@ -24,7 +24,7 @@ agg AS (SELECT metric, model, cond, median(value) AS median, count(*) AS n_cases
 
 def _scores(spark, sf):
     e = table(spark, sf, "events")
-    kinds = R.numbered(e.select("event_type").distinct(), ["event_type"], "k")
+    kinds = R.numbered(e.select("event_type").dropna().distinct(), ["event_type"], "k")
     cond = F.element_at(F.array(*[F.lit(c) for c in _CONDS]), F.least(F.col("k") + 1, F.lit(5)).cast("int"))
     values = {"c1": F.col("value"), "c2": (F.col("event_id") % 13) / 8.0, "c3": (F.col("event_id") * 7919 % 101).cast("double"), "c5": (F.col("user_id") * 31 + F.col("event_id") % 17).cast("double")}
     channels = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()]))

@@ -103,3 +103,30 @@ def test_parse_claims_reads_every_whole_text(spark, tmp_path):
         got.setdefault(r.doc_id, []).append(r)
     assert {k: [(r.pos, r.num) for r in sorted(v, key=lambda r: r.pos)] for k, v in got.items()} == {0: [(0, 1), (1, 2), (2, 3)], 3: [(i, i + 1) for i in range(3000)], 4: [(0, None)], 5: [(0, None)]}
     assert {r.body for r in got[3]} == {("word " * 50).strip()} and got[4][0].status == "new"
+
+
+def test_direction_rates_at_the_limit(spark, tmp_path):
+    """Pairs whose means are 0.05 apart, so the order of a sum decides; rows of many files in any order, nulls among them."""
+    import random
+
+    r, events = random.Random(7), []
+    for user in range(400):
+        n, m = r.randint(3, 9), r.choice([2, 4, 5, 8])
+        base = [r.randint(1, 20_000) for _ in range(n * m)]
+        probe = [r.randint(1, 9_000) for _ in range(n - 1)]
+        base[-1] += -sum(base) % (n * m)
+        probe.append(sum(base) // m - sum(probe) + 5 * n)
+        events += [(user, "a", c / 100) for c in base] + [(user, "d", c / 100) for c in probe]
+    events += [(500, "a", None), (500, "d", 1.0), (501, "a", 1.0), (501, "d", None), (501, "d", None), (502, "a", 2.0), (502, "a", None), (502, "d", 2.01)]
+    events += [(u, t, 1.0) for u in range(500, 503) for t in ("b", "c", "e", None)]
+    r.shuffle(events)
+    events = pd.DataFrame([(2 * i, *e) for i, e in enumerate(events)], columns=["event_id", "user_id", "event_type", "value"])
+    events["event_type"] = events["event_type"].where(events["event_type"].notna(), None)
+    spark.createDataFrame([tuple(None if pd.isna(x) else x for x in e) for e in events.sample(frac=1, random_state=7).itertuples(index=False)], "event_id long, user_id long, event_type string, value double").repartition(16).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.sql(f"create table events as select * from '{tmp_path}/events.parquet/*.parquet' order by event_id")
+    got, want = QUERIES["direction_rates"](spark, str(tmp_path)).toPandas(), con.sql(SQL["direction_rates"]).df()
+    columns = ["cond", "metric", "n", "hits", "hit_rate"]
+    assert rows(got, columns) == rows(want, columns)
+    c1 = want[(want["metric"] == "c1") & (want["cond"] == "B")].iloc[0]
+    assert c1["n"] == 403 and 1 < c1["hits"] < 401 and c1["hit_rate"] != round(c1["hits"] / 403, 6)
