@@ -140,6 +140,20 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def cleared(spark: SparkSession) -> None:
+    """``release``, then executors collect their garbage and give what their heaps have left over back to the system.
+
+    A heap that grew for one operator stays as large for all after it, so over
+    many operators each executor comes to hold all it may, nearly all of it
+    garbage, beside its Python workers and native memory.  There is a task for
+    each core, dealt out to the executors in turn; one that gets none only
+    keeps its heap.
+    """
+    release(spark)
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def chosen(docs: DataFrame, *names: str) -> DataFrame:
     """The columns of exactly these names, also where others differ from them in case alone."""
     columns = docs.columns

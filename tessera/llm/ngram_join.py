@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import joined, only, release, rows_by_bytes, stored, texts_of
+from tessera.llm.common import cleared, joined, only, returned, rows_by_bytes, stored, texts_of
 
 SIZE, PERCENT = 5, 75
 #: Shingles are ordered last if they are in OFTEN documents of a scan batch and in IN_ALL that way; so many are kept at most.
@@ -157,7 +157,7 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
         only("n-gram join")
         borders = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
         for batch in batches:
-            found = [(values, n, [0, *np.searchsorted(values, borders), len(values)]) for _, _, _, s in _blocks(batch.column(0), size) for values, n in [np.unique(s, return_counts=True)]]
+            found = [(values, n.astype(np.int32), [0, *np.searchsorted(values, borders), len(values)]) for _, _, _, s in _blocks(batch.column(0), size) for values, n in [np.unique(s, return_counts=True)]]
             for k in range(16 if found else 0):  # a sixteenth of all shingles at a time
                 values = np.concatenate([v[e[k] : e[k + 1]] for v, _, e in found])
                 order = np.argsort(values, kind="stable")
@@ -168,6 +168,8 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
                 n = np.add.reduceat(n, at)
                 values, often = values[at], n >= OFTEN
                 yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+            del found
+        returned()  # the worker idles while the JVM's stages take their memory
 
     found = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = found.where(F.col("n") >= IN_ALL).orderBy(F.desc("n"), "token").limit(COMMON).select("token").toArrow()
@@ -194,6 +196,7 @@ def _prefixes(docs: DataFrame, common: np.ndarray, size: int, percent: int, orde
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), pa.array(p.view(np.int64)))
                 places = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * BITS // 64 + 1, BITS // 64), pa.int32()), pa.array(signatures(s, n).ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), places, lists], ["doc_id", "n", "print", "sig", "p"])
+        returned()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, print binary, sig array<long>, p array<long>")
 
@@ -298,6 +301,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
             for first, last, row, s in _blocks(batch.column(1), size):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=last - first)))), pa.int32()), pa.array(s.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], ["doc_id", "s"])
+        returned()
 
     full = stored(joined(docs.select("doc_id", "text"), nodes, "doc_id", "left_semi", row_bytes=48).mapInArrow(sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]), "sets")
     a, b = full.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), full.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
@@ -335,7 +339,7 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     able = stored(_able(tokens, percent).select("token", "x", "n"), "able")
     groups = able.groupBy("token").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("cnt")).where("lo < hi").drop("hi")
     members = stored(able.join(groups, "token"), "members")
-    release(spark)
+    cleared(spark)
 
     def sized(pairs: DataFrame) -> DataFrame:
         one = members.select("x", "n").distinct()
@@ -350,7 +354,7 @@ def linked(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFra
     parts = members.groupBy("x").agg(F.collect_set("token").alias("p"))  # the shared part of a prefix
     likely = stored(_sharing(stars, parts, percent).select("a", "b"), "likely")
     edges = stored(_similar(likely, docs, size, percent), "links")
-    release(spark)
+    cleared(spark)
     label = components(edges).select(F.col("node").alias("x"), F.col("component").alias("c"))
     now = members.select("token", "x", "n").join(label, "x", "left").withColumn("c", F.coalesce("c", "x"))
     left = stored(_able(now, percent), "open")  # what a class shares with its own component alone no longer counts for it

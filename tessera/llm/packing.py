@@ -209,7 +209,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW,
     # Tails of one length are one run of ranks per plan row: split at bucket borders by a range join on a few rows a length.
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranked"))
-    table = spark.createDataFrame(plan, "length long, first_rank long, ranks long, first_sequence long, share long, at long")
+    # As an Arrow table: rows of Python would start Python workers of another kind on every executor.
+    names = ["length", "first_rank", "ranks", "first_sequence", "share", "at"]
+    table = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*plan, strict=True)], names=names))
     runs = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first_rank", "ranks", "first_sequence", "share", "at"))).alias("runs"))
     within = W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
     ranked = joined(dealt.withColumn("k", F.row_number().over(within) - 1), stored(starts, "starts"), ["length", "bucket"], "inner", row_bytes=64)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, exact_dedup, langid, license_scan, ngram_join, packing, quality, suffix_dedup, toxicity, warc
-from tessera.llm.common import new_path
+from tessera.llm.common import new_path, release
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -223,6 +223,27 @@ def test_pipeline_against_brute_force(spark):
     assert got == {i: len(t.encode(texts[i], add_special_tokens=False).ids) + 1 for i in clean} and len(clean) < len(left) < len(best)
 
 
+def test_stages_begin_by_collecting_garbage(spark):
+    """Here tasks run in the driver's JVM, so its own full collections are set against those that a stage's tasks add."""
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    full = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if any(x in b.getName() for x in ("Old", "MarkSweep")))
+    rows, before = docs(spark, ["a b c"] * 5), full()
+    release(spark)
+    assert full() - before == 1
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, rows, "/root/testdata/sf0.001")
+        assert full() - before > 1, name  # calls that come while another's collection waits share it
+
+
+def test_packing_starts_no_workers_for_its_plan(spark):
+    """Rows of Python are scanned by workers of their own kind, which stay beside those of the texts."""
+    plan = packing.pack(docs(spark, ["a b c", None]).repartition(2), packing.default_tokenizer())._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" in plan
+
+
 def test_models_without_rows_or_letters(spark):
     empty = docs(spark, [])
     model = langid.fit(empty.select("doc_id", "text", "lang"))
